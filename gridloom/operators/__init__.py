@@ -1,0 +1 @@
+"""Operators over grid tables: DataFrame in, DataFrame out."""

@@ -1,0 +1,6 @@
+"""Readers and writers."""
+
+from gridloom.sources.matpower import parse_matpower, read_matpower
+from gridloom.sources.tables import read_directory, read_manifest, read_pmu_csv, read_table, write_json_lines, write_table
+
+__all__ = ["parse_matpower", "read_directory", "read_manifest", "read_matpower", "read_pmu_csv", "read_table", "write_json_lines", "write_table"]
