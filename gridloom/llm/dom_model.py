@@ -161,6 +161,8 @@ def composed_pages(n: int = 240, seed: int = 5) -> list[tuple[str, set[str]]]:
             body.append(f"<p>{inner}</p>" if k < 0.7 else f"<p><b>{words(6, True)}<br><p>{inner}</p>" if k < 0.78 else f"<ul><li>{inner}</li><li>{words(9, True)}</li></ul>" if k < 0.84 else f"<h2>{inner}</h2>" if k < 0.9 else f"<blockquote><p>{inner}</p></blockquote>" if k < 0.95 else f"<table><tr><td>{inner}</td><td>{words(4, True)}</td></tr></table>")
             if r.random() < 0.08:
                 body.append(wrap(("div", "aside"), r.choice(("ads", "side", "notice")), f"<p>{words(r.randint(4, 20), False)}</p>"))
+            if r.random() < 0.04:
+                body.append(f"<form><label>{words(2, False)}</label><input>{words(1, False)}</form>")
         inner = "".join(body)
         parts.append(r.choice((f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main><article>{inner}</article></main>", f"<main>{inner}</main>", wrap(("div", "section"), "good", inner))))
         if r.random() < 0.4:
@@ -176,7 +178,7 @@ def composed_pages(n: int = 240, seed: int = 5) -> list[tuple[str, set[str]]]:
 
 
 def labels_of(tree: Tree, content: set[str]) -> np.ndarray:
-    """1 for an element that holds content marks but not more boilerplate ones, counted over its subtree."""
+    """1 for an element of whose subtree's marks at least half are content; 0 for html and body, which hold all. Elements without marks follow their parent."""
     good, all_ = np.zeros(len(tree.tag)), np.zeros(len(tree.tag))
     for i, run in tree.runs:
         for mark in re.findall(r"z\d+", run or ""):
@@ -185,7 +187,8 @@ def labels_of(tree: Tree, content: set[str]) -> np.ndarray:
                 all_[i] += 1
                 i = tree.parent[i]
             i = 0
-    label = np.where(all_ > 0, good > 0.999 * all_, -1)
+    label = np.where(all_ > 0, 2 * good >= all_, -1)
+    label[[i for i, t in enumerate(tree.tag) if t in ("html", "body")]] = 0
     for i in range(1, len(label)):
         if label[i] < 0:
             label[i] = 0 if TAG_OF.get(tree.tag[i], "inline") == "hidden" else max(label[tree.parent[i]], 0)
