@@ -7,6 +7,8 @@ threshold (uniform prior, so a Beta posterior) falls below miss. Survivors are v
 A band's bucket may hold very many classes, so its pairs are not all made: first every class is compared with the
 bucket's smallest; after the links found are joined to components, the pairs of a bucket that lie in different
 components are compared. Pairs inside a component add nothing to it, so the components are those of all candidates.
+In large buckets the classes outside the most common component meet all others in blocks of signatures, and only
+pairs that survive the pruning become rows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from gridloom.llm.common import components, cut, small
 #: At similarity 0.8 a pair misses all bands with a probability of 3e-6, and is pruned with one of MISS at most.
 BANDS, ROWS, BATCH, MISS = 32, 5, 32, 1e-6
 SHINGLE, THRESHOLD = 5, 80
+#: Members up to which a bucket's pairs are made by a join, and signatures of a block beyond it.
+SMALL_BUCKET, BLOCK = 16, 512
 #: Hashed words kept by a task.
 KEPT_WORDS = 500_000
 
@@ -130,6 +134,41 @@ def pruned(pairs: DataFrame, reps: DataFrame, threshold: int, batch: int, miss:
     return both.mapInPandas(run, "a long, b long")
 
 
+def pruned_blocks(members: DataFrame, reps: DataFrame, threshold: int, batch: int, miss: float, total: int) -> DataFrame:
+    """As pruned, for the pairs of different components within each bucket of members (band, rep, c, major, n_all, n_rest).
+
+    Classes outside the bucket's major component are cut into blocks, as are all of its classes; each block meets each.
+    """
+    least = least_matches(batch, total, threshold / 100, miss)
+    need = cut(members.select(F.col("rep").alias("id")).distinct())
+    sigs = cut(reps.select(F.col("rep").alias("id"), "sig").join(small(need, 400_000), "id", "left_semi"))
+    blocks = lambda n: (F.floor((F.col(n) - 1) / BLOCK) + 1).cast("int")
+    m = members.withColumn("na", blocks("n_rest")).withColumn("nb", blocks("n_all"))
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    rest = m.where("c <> major").select("band", "rep", "c", F.lit(0).alias("side"), mine("na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    every = m.select("band", "rep", "c", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), mine("nb").alias("j"))
+    rows = rest.unionByName(every).join(sigs, F.col("rep") == F.col("id")).drop("id")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x, y = f[f["side"] == 0], f[f["side"] == 1]
+        out = []
+        if len(x) and len(y):
+            sx = np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), total)
+            sy = np.frombuffer(b"".join(y["sig"]), np.uint32).reshape(len(y), total)
+            cy, ry = y["c"].to_numpy(), y["rep"].to_numpy()
+            for s, c, r in zip(sx, x["c"], x["rep"], strict=True):
+                alive = np.flatnonzero(cy != c)
+                matches = np.zeros(len(cy), np.int64)
+                for n, k in least.items():
+                    part = slice(n - batch, n)
+                    matches[alive] += (sy[alive, part] == s[part]).sum(axis=1)
+                    alive = alive[matches[alive] >= k]
+                out += [(min(r, o), max(r, o)) for o in ry[alive].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= threshold * union."""
     need = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -175,10 +214,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = components(links)
     at = members.select("band", "rep").join(small(first, 400_000), F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
     at = cut(at)
-    mixed = at.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    open_ = cut(at.join(small(cut(mixed), 400_000), "band", "left_semi"))
-    across = open_.alias("x").join(open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = cut(check(cut(across.join(stars, ["a", "b"], "left_anti"))))
+    per = at.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n_all"), F.count("*").alias("k")).where("k > 1")
+    mixed = per.select("band", F.col("top.c").alias("major"), "n_all", (F.col("n_all") - F.col("top.n")).alias("n_rest"))
+    open_ = cut(at.join(small(cut(mixed), 400_000), "band"))
+    few = open_.where(F.col("n_all") <= SMALL_BUCKET)
+    across = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    many = pruned_blocks(open_.where(F.col("n_all") > SMALL_BUCKET), reps, threshold, batch, miss, total)
+    left = cut(pruned(cut(across), reps, threshold, batch, miss, total).union(many).distinct())
+    more = cut(verified(left, docs, doc_id, text, width, threshold))
     # A set held by several documents whose doc_id also holds another set ties these classes by doc_id.
     copies = live.join(reps.select("fp", "rep"), "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = cut(components(links.union(more).union(copies)))
