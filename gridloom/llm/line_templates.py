@@ -48,7 +48,7 @@ def parsed_lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int, depth
 
 def general_templates(lines: DataFrame, mixed: DataFrame, min_tokens: int, min_match: float) -> DataFrame:
     """(template, cluster): the exact templates of mixed leaves that join their leaf's general template."""
-    rows = lines.where(F.col("n") >= min_tokens).join(small(mixed), "leaf", "left_semi")
+    rows = lines.where(F.col("n") >= min_tokens).join(small(mixed, 400_000), "leaf", "left_semi")
     one = cut(rows.select("leaf", "template", "tokens").groupBy("leaf", "template").agg(F.first("tokens").alias("tokens")))
     each = one.select("leaf", "template", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
     votes = each.groupBy("leaf", "place", "token").agg(F.count("*").alias("votes"))
@@ -89,7 +89,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     templates, lines = recurring(docs, doc_id, text, **options)
     hits = lines.join(small(templates), "template").where("th <> keeper")
     drops = cut(hits.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_drop")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_drop"))
-    d = docs.join(small(drops), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left").drop("_id", "_th")
+    d = docs.join(drops, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left").drop("_id", "_th")
     d = d.withColumn("n_lines", F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).cast("long"))
     d = d.withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
     places = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.col("_drop"))
