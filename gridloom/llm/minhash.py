@@ -7,8 +7,8 @@ threshold (uniform prior, so a Beta posterior) falls below miss. Survivors are v
 A band's bucket may hold very many classes, so its pairs are not all made: first every class is compared with the
 bucket's smallest; after the links found are joined to components, the pairs of a bucket that lie in different
 components are compared. Pairs inside a component add nothing to it, so the components are those of all candidates.
-In large buckets the classes outside the most common component meet all others in blocks of signatures, and only
-pairs that survive the pruning become rows.
+In large buckets the classes outside the most common component meet all others in blocks, where pairs are pruned and
+verified; only links become rows.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from gridloom.llm.common import components, cut, small
 #: At similarity 0.8 a pair misses all bands with a probability of 3e-6, and is pruned with one of MISS at most.
 BANDS, ROWS, BATCH, MISS = 32, 5, 32, 1e-6
 SHINGLE, THRESHOLD = 5, 80
-#: Members up to which a bucket's pairs are made by a join, and signatures of a block beyond it.
-SMALL_BUCKET, BLOCK = 16, 512
+#: Members up to which a bucket's pairs are made by a join; beyond it, members and bytes (signatures, full sets) of a block.
+SMALL_BUCKET, BLOCK, BLOCK_BYTES = 16, 512, 32 << 20
 #: Hashed words kept by a task.
 KEPT_WORDS = 500_000
 
@@ -134,52 +134,103 @@ def pruned(pairs: DataFrame, reps: DataFrame, threshold: int, batch: int, miss:
     return both.mapInPandas(run, "a long, b long")
 
 
-def pruned_blocks(members: DataFrame, reps: DataFrame, threshold: int, batch: int, miss: float, total: int) -> DataFrame:
-    """As pruned, for the pairs of different components within each bucket of members (band, rep, c, major, n_all, n_rest).
+def block_members(members: DataFrame) -> DataFrame:
+    """members dealt to the blocks (band, i, j) of their bucket: the classes outside its major component as side 0, all of its classes as side 1."""
+    blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)).cast("int")
+    m = members.withColumn("na", blocks("n_rest", "b_rest")).withColumn("nb", blocks("n_all", "b_all"))
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = m.where("c <> major").select("band", "place", "rep", "c", F.lit(0).alias("side"), mine("na").alias("i"), each("nb").alias("j"))
+    return rest.unionByName(m.select("band", "place", "rep", "c", F.lit(1).alias("side"), each("na").alias("i"), mine("nb").alias("j")))
+
+
+def block_links(members: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: int, batch: int, miss: float, bands: int, rows: int) -> DataFrame:
+    """Links that join different components within the buckets of members (band, place, rep, c, major, n_all, n_rest, b_all, b_rest).
 
-    Classes outside the bucket's major component are cut into blocks, as are all of its classes; each block meets each.
+    A first pass over the blocks marks the classes that have a pair the pruning leaves; a second one gets their full
+    sets and verifies those pairs. A pair counts in the first band it agrees in only, and is passed over once its
+    classes are joined within the block, so a block returns fewer links than it has classes.
     """
+    total = bands * rows
     least = least_matches(batch, total, threshold / 100, miss)
-    need = cut(members.select(F.col("rep").alias("id")).distinct())
-    sigs = cut(reps.select(F.col("rep").alias("id"), "sig").join(small(need, 400_000), "id", "left_semi"))
-    blocks = lambda n: (F.floor((F.col(n) - 1) / BLOCK) + 1).cast("int")
-    m = members.withColumn("na", blocks("n_rest")).withColumn("nb", blocks("n_all"))
-    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    rest = m.where("c <> major").select("band", "rep", "c", F.lit(0).alias("side"), mine("na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    every = m.select("band", "rep", "c", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), mine("nb").alias("j"))
-    rows = rest.unionByName(every).join(sigs, F.col("rep") == F.col("id")).drop("id")
+    sigs = lambda need: cut(reps.select(F.col("rep").alias("id"), "sig").join(small(cut(need.select(F.col("rep").alias("id")).distinct()), 400_000), "id", "left_semi"))
+
+    def left(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows of x with the rows of y that the pruning leaves."""
+        sx = np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), total)
+        sy = np.frombuffer(b"".join(y["sig"]), np.uint32).reshape(len(y), total)
+        cx, cy, place = x["c"].to_numpy(), y["c"].to_numpy(), int(x["place"].iloc[0])
+        for at in range(len(sx)):
+            s, alive = sx[at], np.flatnonzero(cy != cx[at])
+            matches = np.zeros(len(cy), np.int64)
+            for n, k in least.items():
+                part = slice(n - batch, n)
+                matches[alive] += (sy[alive, part] == s[part]).sum(axis=1)
+                alive = alive[matches[alive] >= k]
+            if len(alive):
+                agrees = (sy[alive] == s).reshape(len(alive), bands, rows).all(axis=2)
+                alive = alive[agrees.any(axis=1) & (agrees.argmax(axis=1) == place)]
+            if len(alive):
+                yield at, alive
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def mark(f: pd.DataFrame) -> pd.DataFrame:
         x, y = f[f["side"] == 0], f[f["side"] == 1]
-        out = []
+        hit_x, hit_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
         if len(x) and len(y):
-            sx = np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), total)
-            sy = np.frombuffer(b"".join(y["sig"]), np.uint32).reshape(len(y), total)
-            cy, ry = y["c"].to_numpy(), y["rep"].to_numpy()
-            for s, c, r in zip(sx, x["c"], x["rep"], strict=True):
-                alive = np.flatnonzero(cy != c)
-                matches = np.zeros(len(cy), np.int64)
-                for n, k in least.items():
-                    part = slice(n - batch, n)
-                    matches[alive] += (sy[alive, part] == s[part]).sum(axis=1)
-                    alive = alive[matches[alive] >= k]
-                out += [(min(r, o), max(r, o)) for o in ry[alive].tolist()]
+            for at, alive in left(x, y):
+                hit_x[at] = True
+                hit_y[alive] = True
+        return pd.concat([x[hit_x], y[hit_y]])[["band", "place", "rep", "c", "side", "i", "j"]]
+
+    def link(f: pd.DataFrame) -> pd.DataFrame:
+        x, y = f[f["side"] == 0], f[f["side"] == 1]
+        out, up = [], {}
+
+        def root(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        if len(x) and len(y):
+            tx, ty = ([np.frombuffer(s, np.uint64) for s in d["s"]] for d in (x, y))
+            cx, cy, rx, ry = x["c"].tolist(), y["c"].tolist(), x["rep"].tolist(), y["rep"].tolist()
+            for at, alive in left(x, y):
+                p, mine = tx[at], root(cx[at])
+                for other in alive.tolist():
+                    q, its = ty[other], root(cy[other])
+                    # The smaller set can't hold more than its size in common.
+                    if its == mine or 100 * min(len(p), len(q)) < threshold * max(len(p), len(q)):
+                        continue
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * both >= threshold * (len(p) + len(q) - both):
+                        out.append((min(rx[at], ry[other]), max(rx[at], ry[other])))
+                        up[max(mine, its)] = min(mine, its)
+                        mine = root(mine)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    schema = "band long, place int, rep long, c long, side int, i int, j int"
+    sides = block_members(members)
+    marked = cut(sides.join(sigs(members), F.col("rep") == F.col("id")).drop("id").groupBy("band", "i", "j").applyInPandas(mark, schema))
+    sets = full_sets(marked.select(F.col("rep").alias("id")).distinct(), docs, doc_id, text, width)
+    full = marked.join(sigs(marked), F.col("rep") == F.col("id")).drop("id").join(sets, F.col("rep") == F.col("id")).drop("id")
+    return full.groupBy("band", "i", "j").applyInPandas(link, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= threshold * union."""
-    need = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def full_sets(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(id, s): the full shingle sets of the documents of ids."""
+    need = cut(ids)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingler(width)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sets(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "s"])
 
-    sets = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(small(need, 400_000), "id", "left_semi").mapInArrow(full, "id long, s binary")
-    sets = cut(sets)
+    return cut(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(small(need, 400_000), "id", "left_semi").mapInArrow(full, "id long, s binary"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= threshold * union."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, doc_id, text, width)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +253,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     all_docs = cut(signed(docs, doc_id, text, width, bands, rows))
     live = all_docs.where("n_shingles > 0 and doc_id is not null")
-    reps = cut(live.groupBy("fp").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("r")).select("fp", F.col("r.doc_id").alias("rep"), "r.sig", "r.bands"))
-    keys = reps.select("rep", F.explode("bands").alias("band"))
+    reps = cut(live.groupBy("fp").agg(F.min(F.struct("doc_id", "sig", "bands", "n_shingles")).alias("r")).select("fp", F.col("r.doc_id").alias("rep"), "r.sig", "r.bands", "r.n_shingles"))
+    keys = reps.select("rep", (F.col("n_shingles") * 8 + F.length("sig")).alias("size"), F.posexplode("bands").alias("place", "band"))
     # Buckets of one class are dropped before anything is joined.
     buckets = cut(keys.groupBy("band").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1").select("band", "center"))
     members = cut(keys.join(buckets, "band"))
@@ -212,16 +263,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(check(cut(stars)))
     first = components(links)
-    at = members.select("band", "rep").join(small(first, 400_000), F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
-    at = cut(at)
-    per = at.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n_all"), F.count("*").alias("k")).where("k > 1")
-    mixed = per.select("band", F.col("top.c").alias("major"), "n_all", (F.col("n_all") - F.col("top.n")).alias("n_rest"))
+    at = cut(members.join(small(first, 400_000), F.col("rep") == F.col("node"), "left").select("band", "place", "rep", "size", F.coalesce("component", "rep").alias("c")))
+    per = at.groupBy("band", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("band").agg(F.max(F.struct("n", "c", "size")).alias("top"), F.sum("n").alias("n_all"), F.sum("size").alias("b_all"), F.count("*").alias("k")).where("k > 1")
+    mixed = per.select("band", F.col("top.c").alias("major"), "n_all", (F.col("n_all") - F.col("top.n")).alias("n_rest"), "b_all", (F.col("b_all") - F.col("top.size")).alias("b_rest"))
     open_ = cut(at.join(small(cut(mixed), 400_000), "band"))
     few = open_.where(F.col("n_all") <= SMALL_BUCKET)
     across = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    many = pruned_blocks(open_.where(F.col("n_all") > SMALL_BUCKET), reps, threshold, batch, miss, total)
-    left = cut(pruned(cut(across), reps, threshold, batch, miss, total).union(many).distinct())
-    more = cut(verified(left, docs, doc_id, text, width, threshold))
+    many = cut(block_links(open_.where(F.col("n_all") > SMALL_BUCKET), reps, docs, doc_id, text, width, threshold, batch, miss, bands, rows))
+    more = cut(check(cut(across))).union(many)
     # A set held by several documents whose doc_id also holds another set ties these classes by doc_id.
     copies = live.join(reps.select("fp", "rep"), "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = cut(components(links.union(more).union(copies)))

@@ -135,6 +135,30 @@ def test_pruning_bound():
     assert 0 < least[32] < 26 and least[160] / 160 < 0.8 and least[160] > least[32]
 
 
+def test_minhash_large_buckets(spark, monkeypatch):
+    """Buckets that go through blocks of several members, with pairs on both sides of the threshold, against all pairs."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng, base = np.random.default_rng(5), [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(90):
+        ws = list(base)
+        for p in rng.choice(200, 4 + i % 14, replace=False):
+            ws[p] = f"v{i % 30}_{p}" if i % 3 else f"v{p}"
+        texts.append(" ".join(ws))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    comp = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((comp[a], comp[b]))
+                comp = [x if c == y else c for c in comp]
+    assert 2 < len(set(comp)) < 80
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(d, width=2).collect()}
+    assert got == dict(enumerate(comp))
+
+
 def test_mixing(spark):
     d = table(spark, TEXTS + [f"m{i} " * (i % 40 + 1) for i in range(200)] * 2, ["b", "a", None, "c"])
     r = mixing.taken(d).collect()
