@@ -33,9 +33,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, of five words to a shingle and a similarity of 0.8; of repeated rows all but one go."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns)
+    """One row of each group stays, of five words to a shingle and a similarity of 0.8: the one with the smallest doc_id; of rows equal in all columns all but one go.
+
+    Rows are told apart by all of their columns, so different texts that share a doc_id are different rows here. Rows without doc_id link with nothing and all stay.
+    """
+    columns = [F.col(c) for c in docs.columns]
+    # The hash passes over nulls, so which columns are null is hashed too.
+    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64(*columns, *[c.isNull() for c in columns]))
+    groups = minhash.near_duplicates(keyed, "_key").select("doc_id", "component_id").distinct().toDF("_k", "_group")
+    ids = keyed.select("_key", F.col("doc_id").alias("_id")).distinct()
+    first = ids.join(groups, F.col("_key") == F.col("_k")).groupBy("_group").agg(F.min(F.struct("_id", "_key"))["_key"].alias("_kept")).select("_kept")
+    kept = keyed.dropDuplicates(["_key"]).join(first, F.col("_key") == F.col("_kept"))
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
