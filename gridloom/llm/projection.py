@@ -1,14 +1,20 @@
 """Embedding near-dedup by sorted projection passes.
 
 A pass orders all vectors by the concatenated sign bits of random projections, read as one number, and compares each
-with its next window neighbours in double precision. Pairs at or above the threshold are united across passes.
-Links are then counted inside each component in blocks, so that counts are whole even where a group is larger than
-any window.
+in double precision with all others of the same number: a window is a whole stretch of equal keys, however long it
+is, so none ends early, at a partition's edge or elsewhere. Long stretches are compared in blocks. Pairs at or above
+the threshold are united across passes.
+
+Two vectors at an angle a agree in a sign bit with probability 1 - a / pi, and bits are independent. So bits and
+passes follow from the number of distinct vectors, the threshold and the probability with which a pair at the
+threshold may be missed; that bound holds for any vectors. Up to STRETCH vectors one pass without bits compares all.
+Links are then counted inside each component in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -18,11 +24,19 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import components, cut, small
 
-PASSES, BITS, WINDOW, THRESHOLD = 20, 63, 24, 0.9
-#: Vectors of a block in which links are counted.
+#: MISS bounds the probability that no pass compares a pair at the threshold; stretches have STRETCH vectors at most on average.
+THRESHOLD, MISS, STRETCH = 0.9, 1e-6, 1024
+#: Vectors of a block in which vectors are compared and links are counted.
 BLOCK = 1024
 
 
+def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS, stretch: int = STRETCH) -> tuple[int, int]:
+    """(passes, bits) for n distinct vectors."""
+    bits = min(62, max(0, ceil(log2(max(n, 1) / stretch))))
+    met = (1 - acos(max(-1.0, min(1.0, threshold))) / pi) ** bits
+    return (1 if met >= 1 else ceil(log(miss) / log1p(-met))), bits
+
+
 def unit(raw: np.ndarray) -> np.ndarray:
     v = raw.astype(np.float64)
     # Scaled first, so that squares neither overflow nor vanish.
@@ -66,48 +80,35 @@ def keyed(vectors: DataFrame, passes: int, bits: int, seed: int = 11) -> DataFra
     return vectors.mapInPandas(run, "pass int, dim int, key long, vec_id long, v binary")
 
 
-def near(sorted_rows: DataFrame, window: int, threshold: float) -> DataFrame:
-    """(a, b): links found among window neighbours, a spanning forest of those of each stretch of rows.
-
-    A window ends with its partition; what that leaves out in one pass other passes find.
-    """
-
-    def forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-        parent = list(range(len(ids)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
+def forest(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph with the symmetric matrix hit."""
+    out, left = [], hit.any(axis=1)
+    while len(starts := np.flatnonzero(left)[:1]):
+        left[starts] = False
+        front = starts
+        while len(front):
+            front = np.flatnonzero(hit[front].any(axis=0) & left)
+            left[front] = False
+            out += [(int(starts[0]), int(i)) for i in front]
+    return out
+
+
+def near(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): a spanning forest of the links of each block of the rows (pass, dim, key, vec_id, v) of equal pass, dim and key."""
+    at = ["pass", "dim", "key"]
+    sizes = rows.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*[F.col(c).alias(f"_{c}") for c in at], (F.floor((F.col("n") - 1) / block) + 1).cast("int").alias("blocks"))
+    m = rows.join(small(cut(sizes), 400_000), [F.col(c) == F.col(f"_{c}") for c in at]).drop(*[f"_{c}" for c in at])
+    m = m.withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("blocks", "other")
 
-        out = []
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            p, q = root(i), root(j)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                out.append((ids[i], ids[j]))
-        return out
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        u, ids = unit(unpacked(f["v"])), f["vec_id"].to_numpy()
+        hit = u @ u.T >= threshold
+        np.fill_diagonal(hit, False)
+        return pd.DataFrame([(ids[p], ids[q]) for p, q in forest(hit)], columns=["a", "b"], dtype="int64")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
-        for f in frames:
-            f = f if tail is None else pd.concat([tail, f], ignore_index=True)
-            tail = f.iloc[-window:]
-            for _, g in f.groupby(["pass", "dim"], sort=False):
-                if len(g) < 2:
-                    continue
-                u, ids = unit(unpacked(g["v"])), g["vec_id"].to_numpy()
-                left, right = [], []
-                for o in range(1, min(window, len(g) - 1) + 1):
-                    hit = np.flatnonzero(np.einsum("ij,ij->i", u[:-o], u[o:]) >= threshold)
-                    left.append(hit)
-                    right.append(hit + o)
-                found = forest(ids, np.concatenate(left), np.concatenate(right))
-                if found:
-                    yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-
-    return sorted_rows.mapInPandas(run, "a long, b long")
+    return m.groupBy(*at, "i", "j").applyInPandas(run, "a long, b long")
 
 
 def link_counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -135,15 +136,16 @@ def link_counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return m.groupBy("component", "i", "j").applyInPandas(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, miss: float = MISS, stretch: int = STRETCH, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Null vectors, empty ones, those of zeros and those with null or non-finite components link with nothing, as do rows without vec_id (null component, kept). Only vectors of one length are compared. Equal vectors are one in the passes and count as links of each other. vec_id names a vector. Extra columns are left out.
     """
     vectors = cut(usable(rows, vec_id, embedding))
     reps = cut(vectors.groupBy("dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
-    ordered = keyed(reps.select(F.col("rep").alias("vec_id"), "dim", "v"), passes, bits).repartitionByRange("pass", "dim", "key", "vec_id").sortWithinPartitions("pass", "dim", "key", "vec_id")
-    links = cut(near(ordered, window, threshold).distinct())
+    passes, bits = plan(reps.count(), threshold, miss, stretch)
+    keys = keyed(reps.select(F.col("rep").alias("vec_id"), "dim", "v"), passes, bits)
+    links = cut(near(keys, threshold, block).distinct())
     found = components(links)
     members = found.join(reps, F.col("node") == F.col("rep")).select("component", "rep", "weight", "v")
     counts = link_counts(members, threshold, block)

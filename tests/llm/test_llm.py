@@ -282,3 +282,35 @@ def test_embeddings(spark):
         while more := {j for j in range(len(v)) if j not in near and any(link(k, j) for k in near)}:
             near |= more
         assert (got[i].n_links, got[i].component_id) == (sum(link(i, j) for j in range(len(v))), min(near))
+
+
+def test_embedding_plan_bounds_misses():
+    """Bits and passes follow from the number of vectors, and no pair at the threshold is missed more often than stated."""
+    assert projection.plan(1) == projection.plan(1024) == (1, 0)
+    last = (1, 0)
+    for n in (10**4, 10**5, 10**6, 10**9):
+        passes, bits = projection.plan(n)
+        assert n / 2**bits <= 1024 and passes > last[0] and bits > last[1]
+        assert (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** passes <= 1e-6
+        last = passes, bits
+
+
+def test_embedding_recall_by_brute_force(spark):
+    """A dense cone, where a short window holds no partner: every pair just above the threshold is found, through several passes and blocks."""
+    r = np.random.default_rng(6)
+    cone = r.normal(size=32) + r.normal(size=(3000, 32)) * 0.8
+    pairs = cone[:300] + r.normal(size=(300, 32)) * 0.42
+    v = np.concatenate([cone, pairs])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    comp = np.arange(len(v))
+    while True:
+        low = np.array([min(c, comp[h].min()) if h.any() else c for c, h in zip(comp, hit, strict=True)])
+        if (low == comp).all():
+            break
+        comp = low
+    assert 50 < hit.any(axis=1).sum() < 3300
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in projection.near_vectors(d, stretch=64, block=64).collect()}
+    assert got == {i: (int(h.sum()), int(c)) for i, (h, c) in enumerate(zip(hit, comp, strict=True))}
