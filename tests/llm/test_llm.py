@@ -314,3 +314,36 @@ def test_embedding_recall_by_brute_force(spark):
     d = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
     got = {x.vec_id: (x.n_links, x.component_id) for x in projection.near_vectors(d, stretch=64, block=64).collect()}
     assert got == {i: (int(h.sum()), int(c)) for i, (h, c) in enumerate(zip(hit, comp, strict=True))}
+
+
+def test_licenses_beside_other_words():
+    """Notices within lines, sentences and comment blocks, full texts, and the best window against all windows."""
+    s = licenses.Scanner()
+    by = {}
+    for name, t in licenses.TEMPLATES:
+        by.setdefault(name, []).append(t)
+    assert {"AGPL-3.0", "BSD-3-Clause", "EPL-2.0", "LGPL-2.1", "LGPL-3.0", "Unlicense"} <= set(by)
+    assert s("Copyright 2020 Jane Doe. Released under the MIT License.") == [("MIT", 1.0, 0)]
+    assert s(f"One sentence stands here.\nAnother one has words of its own. Released under the MIT License. And a third one follows it, {LONG[:300]}") == [("MIT", 1.0, 1)]
+    block = "# a tool\n" + "\n".join(f"# {x}" for x in by["MIT"][-1].split(". "))
+    assert ("MIT", 1.0, 1) in s(block)
+    for name, t in licenses.TEMPLATES:
+        assert (name, 1.0) in [x[:2] for x in s(f"{LONG[:200]}\nour project: {t} {LONG[200:400]}")]
+    assert s("licensed software notice under the license of this work") == []
+    rng = np.random.default_rng(4)
+    for name, t in licenses.TEMPLATES[:9]:
+        ws = t.split()
+        for p in rng.choice(len(ws), len(ws) // 8, replace=False):
+            ws[p] = "other"
+        doc = f"under the {LONG[:100]} this work {' '.join(ws)} of the license {LONG[100:200]} {t.split()[0]}"
+        words_ = licenses.WORDS.findall(doc.lower())
+        grams, best = list(zip(words_, words_[1:])), {}
+        for other, b in s.sets:
+            if len(b) < 300:
+                for i in range(len(grams)):
+                    for j in range(i + 1, min(len(grams), i + 2 * len(b)) + 1):
+                        w = set(grams[i:j])
+                        dice = 2 * len(w & b) / (len(w) + len(b))
+                        if dice >= s.limit:
+                            best[other] = max(dice, best.get(other, 0))
+        assert {x[0]: x[1] for x in s(doc)} == best
