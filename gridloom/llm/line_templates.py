@@ -2,14 +2,19 @@
 
 A line's tokens are its words; a token with a digit is a variable field. The tree has a fixed depth: the root splits
 by token count, the levels below by the leading tokens. A leaf's lines share a template in two steps: lines whose
-tokens agree but for fields with digits have one exact template; leaves with several exact templates get a general
-one, the dominant token at each place, which a line joins if it agrees with it at min_match of the places. A
+tokens agree but for fields with digits have one exact template; leaves with several exact templates get general
+ones: the dominant token at each place, which a line joins if it agrees with it at min_match of the places. The vote is
+held over the leaf first. Templates that didn't join are voted on again in split leaves, those that also share all
+tokens of a band of places: with one band more than places in which two lines may differ, two lines that agree at
+min_match of the places share a band. That is repeated until none joins. A
 template that is found in min_docs distinct texts recurs: its lines stay in the document with the smallest doc_id
 that holds it (and in exact copies of that document) and are dropped from all others.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,15 +51,65 @@ def parsed_lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int, depth
     return d.select("doc_id", "th", "_line.*")
 
 
-def general_templates(lines: DataFrame, mixed: DataFrame, min_tokens: int, min_match: float) -> DataFrame:
-    """(template, cluster): the exact templates of mixed leaves that join their leaf's general template."""
+def voted(rows: DataFrame, min_match: float) -> DataFrame:
+    """(leaf, template, cluster): the templates of rows (leaf, template, tokens, cluster) that agree with the dominant tokens of their cluster."""
+    each = rows.select("leaf", "cluster", "template", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
+    votes = each.groupBy("cluster", "place", "token").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("cluster", "place").agg(F.max(F.struct("votes", "token"))["token"].alias("best"))
+    agree = each.join(best, ["cluster", "place"]).groupBy("leaf", "cluster", "template", "n").agg(F.sum((F.col("token") == F.col("best")).cast("int")).alias("same"))
+    return agree.where(F.col("same") >= F.col("n") * F.lit(min_match)).select("leaf", "template", "cluster")
+
+
+def bands(toks: Column, depth: int, min_match: float) -> Column:
+    """For each band its number and the hash of the tokens at its places; one band more than places that may differ. The leading tokens, equal in a leaf, are in none."""
+    n = F.size(toks)
+    k = F.greatest(F.least(n - depth, n - F.ceil(n * F.lit(min_match)) + 1), F.lit(1)).cast("int")
+    start = lambda i: (F.lit(depth) + F.floor(i * (n - depth) / k)).cast("int")
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice(toks, start(i) + 1, F.greatest(start(i + 1) - start(i), F.lit(0)))).alias("hash")))
+
+
+def voted_pairs(pairs: DataFrame, one: DataFrame, min_match: float) -> DataFrame:
+    """As voted for clusters (cluster, lo, hi) of two templates, where both join: the larger token wins a tie, so no votes need counting."""
+    side = lambda c: one.select(F.col("template").alias(c), F.col("tokens").alias(f"t{c}"))
+    z = F.arrays_zip(F.col("tlo").alias("x"), F.col("thi").alias("y"))
+    need = F.size("tlo") * F.lit(min_match)
+    both = (F.size(F.filter(z, lambda t: t["x"] >= t["y"])) >= need) & (F.size(F.filter(z, lambda t: t["y"] >= t["x"])) >= need)
+    return pairs.join(side("lo"), "lo").join(side("hi"), "hi").where(both).select("cluster", F.explode(F.array("lo", "hi")).alias("template"))
+
+
+def general_templates(lines: DataFrame, mixed: DataFrame, min_tokens: int, depth: int, min_match: float) -> DataFrame:
+    """(template, cluster): the exact templates of mixed leaves that join a general template."""
     rows = lines.where(F.col("n") >= min_tokens).join(small(mixed, 400_000), "leaf", "left_semi")
     one = cut(rows.select("leaf", "template", "tokens").groupBy("leaf", "template").agg(F.first("tokens").alias("tokens")))
-    each = one.select("leaf", "template", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
-    votes = each.groupBy("leaf", "place", "token").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("leaf", "place").agg(F.max(F.struct("votes", "token"))["token"].alias("best"))
-    agree = each.join(best, ["leaf", "place"]).groupBy("leaf", "template", "n").agg(F.sum((F.col("token") == F.col("best")).cast("int")).alias("same"))
-    return agree.where(F.col("same") >= F.col("n") * F.lit(min_match)).select("template", F.col("leaf").alias("cluster"))
+    joined = cut(voted(one.withColumn("cluster", F.col("leaf")), min_match))
+    # One template alone in a leaf's vote is still open.
+    size = joined.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1").select("cluster")
+    found = [cut(joined.join(size, "cluster", "left_semi").select("template", "cluster"))]
+    left = one.join(found[0].select("template"), "template", "left_anti")
+    split = left.select("leaf", "template", F.explode(bands(F.col("tokens"), depth, min_match)).alias("b")).select("leaf", "template", F.xxhash64("leaf", "b.band", "b.hash").alias("cluster"))
+    split = cut(split)
+    while True:
+        shared = cut(split.groupBy("cluster").agg(F.count("*").alias("k"), F.min("template").alias("lo"), F.max("template").alias("hi")).where("k > 1"))
+        split = cut(split.join(shared.select("cluster"), "cluster", "left_semi"))
+        if split.isEmpty():
+            break
+        pairs = shared.where("k = 2").groupBy("lo", "hi").agg(F.min("cluster").alias("cluster"))
+        many = split.join(shared.where("k > 2").select("cluster"), "cluster", "left_semi").join(one.select("template", "tokens"), "template")
+        joined = cut(voted(many, min_match).select("cluster", "template").unionByName(voted_pairs(pairs, one, min_match)))
+        size = joined.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1")
+        # Each template takes the largest of its clusters; the largest of all keeps all of its templates, so there is progress.
+        took = joined.join(size, "cluster").groupBy("template").agg(F.max(F.struct("k", "cluster"))["cluster"].alias("cluster"))
+        took = cut(took)
+        stays = took.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1").select("cluster")
+        took = cut(took.join(stays, "cluster", "left_semi").select("template", "cluster"))
+        if took.isEmpty():
+            break
+        # A later round's cluster of the same band is another one.
+        found.append(took.select("template", F.xxhash64("cluster", F.lit(len(found))).alias("cluster")))
+        # Only the vote of a cluster that lost a template, or whose joined templates were left over, can come out otherwise.
+        again = split.join(took.select("template"), "template", "left_semi").select("cluster").union(size.select("cluster")).distinct()
+        split = split.join(again, "cluster", "left_semi").join(took.select("template"), "template", "left_anti")
+    return reduce(DataFrame.unionByName, found)
 
 
 def recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, min_general: int = MIN_GENERAL_TOKENS, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_match: float = MIN_MATCH) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +124,7 @@ def recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_t
         found = once.groupBy("leaf", "template").agg(F.first("n").alias("n"), holder, F.count("*").alias("n_docs"))
     found = cut(found)
     mixed = cut(found.where(F.col("n") >= min_general).groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf"))
-    joined = cut(general_templates(parsed_lines(docs, doc_id, text, min_tokens, depth, True), mixed, min_general, min_match))
+    joined = cut(general_templates(parsed_lines(docs, doc_id, text, min_tokens, depth, True), mixed, min_general, depth, min_match))
     lines = meta.select("doc_id", "th", "pos", "template")
     of_cluster = lines.join(small(joined), "template").select("cluster", "template", "doc_id", "th")
     clusters = of_cluster.groupBy("cluster", "th").agg(F.min("doc_id").alias("doc_id")).groupBy("cluster").agg(F.min(F.struct("doc_id", "th")).alias("holder"), F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)

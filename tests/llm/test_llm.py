@@ -347,3 +347,17 @@ def test_licenses_beside_other_words():
                         if dice >= s.limit:
                             best[other] = max(dice, best.get(other, 0))
         assert {x[0]: x[1] for x in s(doc)} == best
+
+
+def test_line_templates_of_several_families_in_a_leaf(spark):
+    """Two families of one leaf whose votes tie, and a third beside a large one: each pair agrees in 13 of 14 places."""
+    head = "And reornd atou"
+    body = lambda f: [f"{f}{c}" for c in "abcdefghijk"]
+    line = lambda f, k, w: f"{head} {' '.join(w if i == k else x for i, x in enumerate(body(f)))}"
+    families = [[line("p", 2, "one"), line("p", 2, "two")], [line("q", 5, "three"), line("q", 5, "four")], [line("r", 9, x) for x in ("u", "v", "w", "x")]]
+    for chosen in (families[:2], families):
+        lines = [x for f in chosen for x in f]
+        d = spark.createDataFrame([(i, x, "a") for i, x in enumerate(lines)], "doc_id long, text string, source string")
+        got = {x.doc_id: x.n_dropped for x in line_templates.line_dedup(d).collect()}
+        firsts = {lines.index(f[0]) for f in chosen}
+        assert got == {i: int(i not in firsts) for i in range(len(lines))}
