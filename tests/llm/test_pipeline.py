@@ -1,6 +1,11 @@
 """Stages of the corpus pipeline on tables with null and reused ids."""
 
+import duckdb
+import public_tokenizers
+import pytest
+
 import corpus_pipeline
+from gridloom.llm import mixing, queries, sentencepiece_model
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -19,3 +24,52 @@ def test_near_dedup_keeps_null_and_reused_ids(spark):
     want = [rows[i] for i in (0, 1, 2, 3, 4, 7, 9, 10, 11, 12)]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_as_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    want = c.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    plain = lambda r: tuple(round(v, 5) if isinstance(v, float) else v for v in r)
+    assert sorted(map(repr, map(plain, got.select(*columns).collect()))) == sorted(map(repr, map(plain, want.fetchall())))
+
+
+def test_run_by_brute_force(spark, tmp_path):
+    """All stages, on rows with null and reused ids: what each must keep is counted by hand-written rules up to the mix."""
+    own = lambda name, n: " ".join(f"{name}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n))
+    near = own("a", 80).replace("adb", "other")
+    short = "\n".join(own(f"s{c}", 4) for c in "abcdefghijklmnopqrst")
+    rows = [row(None, own("n", 80)), row(None, own("n", 80)), row(12, short), row(11, short.replace("staad", "other")), row(None, short), row(None, own("m", 80)), row(7, own("x", 80)), row(7, own("y", 80)), row(7, own("x", 80)), row(1, own("a", 80)), row(2, near), row(3, "too short"), row(4, None), row(5, own("b", 60) + "\n" + own("c", 60), "b"), row(6, own("c", 60) + "\n" + own("d", 60), "b")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def stays(t):
+        return t is not None and len(t.split()) >= 50
+
+    left, lines = [], {}
+    for d, t, *rest in sorted(filter(lambda r: stays(r[1]), rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        mine = [x for x in t.split("\n") if len(x.split()) < 5 or not any(sum(p == q for p, q in zip(x.split(), y.split(), strict=True)) >= 0.8 * len(x.split()) for y, who in lines.items() if who != t and len(y.split()) == len(x.split()))]
+        lines |= {x: t for x in mine if x not in lines}
+        left.append((d, "\n".join(mine), *rest[:-1], len("\n".join(mine))))
+    want, seen = [], []
+    for r in left:  # in the order of doc_id
+        s = {tuple(r[1].split()[i : i + 5]) for i in range(max(1, len(r[1].split()) - 4))} if r[1] else set()
+        if r[0] is None or not any(s and 100 * len(s & o) >= 80 * len(s | o) for o in seen):
+            want.append(r)
+        seen.append(s if r[0] is not None else set())
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.cut(stage(spark, docs, ""))
+    assert sorted(map(repr, map(tuple, docs.collect()))) == sorted(map(repr, want))
+    mixed = mixing.taken(docs).collect()
+    words = sum(x.taken for x in mixed)
+    out = sentencepiece_model.decode(corpus_pipeline.run(spark, str(tmp_path)), public_tokenizers.path(queries.MODEL)).collect()
+    assert all(x.parity and x.round_trip for x in out) and sum(len(x.decoded.split()) for x in out) == words
+    assert {x.doc_id for x in out} == {x.doc_id for x in mixed if x.taken}
