@@ -189,22 +189,70 @@ def test_sentencepiece(spark):
     assert sp.encode(empty(spark), path).count() == 0
 
 
-def test_unigram_model():
-    def field(n, kind, body):
-        return bytes([n << 3 | kind]) + (bytes([len(body)]) + body if kind == 2 else body)
-
+def composed_model(charsmap=b"", dummy=True, collapse=False):
+    """A unigram model of a few pieces and all bytes."""
     import struct
 
+    def varint(n):
+        return bytes([n & 127 | (128 if n > 127 else 0)]) + (varint(n >> 7) if n > 127 else b"")
+
+    def field(n, kind, body):
+        return bytes([n << 3 | kind]) + (varint(len(body)) + body if kind == 2 else body)
+
     def piece(p, s, t):
         return field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([t])))
 
     pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", -20.0, 6) for i in range(256)] + [(p, s, 1) for p, s in (("▁", -3.0), ("a", -4.0), ("b", -4.5), ("ab", -5.0), ("▁ab", -6.0), ("▁a", -5.5), ("bb", -7.0))]
     trainer = field(2, 2, field(3, 0, b"\x01") + b"\x98\x02\x01")
-    normal = field(3, 2, field(3, 0, b"\x01") + field(4, 0, b"\x00") + field(5, 0, b"\x01"))
-    c = sp.Codec(b"".join(piece(*p) for p in pieces) + trainer + normal)
-    for t in ("ab", "abb ab", "aabb", "b é a", ""):
-        (ids, same), = c.encode([t])
-        assert same and ids == c.library.encode(t) and c.decode(ids) == t
+    normal = field(3, 2, (field(2, 2, charsmap) if charsmap else b"") + field(3, 0, bytes([dummy])) + field(4, 0, bytes([collapse])) + field(5, 0, b"\x01"))
+    return b"".join(piece(*p) for p in pieces) + trainer + normal
+
+
+def library_charsmap():
+    """The NFKC table that the sentencepiece library brings along."""
+    from sentencepiece import SentencePieceNormalizer
+
+    return sp.parse(SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())["charsmap"]
+
+
+RAW = ["ab", "abb ab", "aabb", "b é a", "", " ", "  ab  b ", "ab\n", "\nab b\t", "a ▁b▁", "▁", "ＡＢ ａｂ ﬁ ½", "ab\u3000ab", "\x00a", "  \n ", "é" * 3000]
+
+
+@pytest.mark.parametrize("collapse", [False, True])
+@pytest.mark.parametrize("dummy", [False, True])
+@pytest.mark.parametrize("mapped", [False, True])
+def test_unigram_model_on_raw_texts(mapped, dummy, collapse):
+    c = sp.Codec(composed_model(library_charsmap() if mapped else b"", dummy, collapse))
+    for t in RAW:
+        ((ids, back, same),) = c.encode([t])
+        got = np.frombuffer(ids, "<i4").tolist()
+        assert same and back and got == c.library.encode(t), t
+        assert c.decode(got) == c.expected(t).replace("▁", " ")
+
+
+def test_wrong_normaliser_is_found(spark, tmp_path):
+    from tokenizers import normalizers
+
+    path = f"{tmp_path}/composed.model"
+    with open(path, "wb") as f:
+        f.write(composed_model())
+    c = sp.Codec(composed_model())
+    c.normaliser = normalizers.Sequence([normalizers.Replace("b", "a")])
+    ((ids, back, same),) = c.encode(["ab"])
+    assert same and back and np.frombuffer(ids, "<i4").tolist() != c.library.encode("ab")
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(RAW)], "doc_id long, text string")
+    assert all(x.parity and x.round_trip for x in sp.encode(d, path, whole_share=1).collect())
+
+
+def test_word_table_is_bounded(monkeypatch):
+    """With a table of a few words, turned over at each call, ids stay those of the library."""
+    monkeypatch.setattr(sp, "KEPT_BYTES", 300)
+    c = sp.Codec(composed_model())
+    for i in range(12):
+        texts = ["ab b", f"a{'b' * (i % 4)} x{i}", "ab  b"]
+        for t, (ids, back, same) in zip(texts, c.encode(texts), strict=True):
+            assert back and same and np.frombuffer(ids, "<i4").tolist() == c.library.encode(t)
+    assert len(c.young) + len(c.old) < 12
 
 
 def test_importance(spark):
