@@ -11,9 +11,29 @@ def apparent_power(p: Column, q: Column) -> Column:
 
 
 def power_factor(p: Column, q: Column) -> Column:
-    """|p| over apparent power; 1 without power."""
+    """P over apparent power with the sign of P, held to [-1, 1]; 1 without power."""
     s = apparent_power(p, q)
-    return F.when(s > 0, F.abs(p) / s).otherwise(1.0)
+    return F.when(s > 0, clamp(p / s, -1.0, 1.0)).otherwise(1.0)
+
+
+def active_power(s: Column, pf: Column) -> Column:
+    return s * pf
+
+
+def reactive_power(s: Column, pf: Column) -> Column:
+    return s * F.sqrt(F.greatest(1 - pf * pf, F.lit(0.0)))
+
+
+def admittance(r: Column, x: Column) -> Column:
+    """(g, b) of an impedance; null for zero impedance."""
+    z2 = r * r + x * x
+    return F.when(z2 > 0, F.struct((r / z2).alias("g"), (-x / z2).alias("b")))
+
+
+def whole_number(v: Column, bits: int = 64, signed: bool = True) -> Column:
+    """A double as a whole number; null where it isn't one or is out of range, as for NaN."""
+    low = F.lit(-(2.0 ** (bits - 1)) if signed else 0.0)
+    return F.when((v == F.floor(v)) & (v >= low) & (v < F.lit(2.0 ** (bits - 1))), v).try_cast("int" if bits == 32 else "long")
 
 
 def to_per_unit(kv: Column, base_kv: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gridloom.operators.order import by_id, numbered
+
 
 def envelope(assets: DataFrame, by_bus: bool = False) -> DataFrame:
     """Bounds of an aggregate: the least of minima, the greatest of maxima, and the number of assets."""
@@ -38,7 +40,7 @@ def curtailment(rows: DataFrame) -> DataFrame:
 
 def flisr(elements: DataFrame, runs: int) -> DataFrame:
     """Run i takes element i modulo n, in order of the id."""
-    e = elements.withColumn("k", F.row_number().over(W.orderBy("element_id")) - 1)
+    e = numbered(elements, by_id("element_id"), ["element_id"], "k")
     n = e.agg(F.count("*").alias("n"))
     r = elements.sparkSession.range(runs).withColumnRenamed("id", "run").crossJoin(F.broadcast(n)).withColumn("k", F.pmod("run", "n")).join(e, "k")
     saidi = F.greatest(F.col("failure_rate") * F.col("repair_hours"), F.lit(1.0))
@@ -61,10 +63,15 @@ def batch_jobs(scenarios: DataFrame, task: str) -> DataFrame:
 
 
 def batch_stats(runs: DataFrame, value: str) -> DataFrame:
-    """min, max, mean, median (upper middle for even counts is averaged) and p95, the value at index ceil(0.95 n)."""
-    d = runs.agg(F.sort_array(F.collect_list(value)).alias("a"))
-    n = F.size("a")
-    return d.select(F.get("a", 0).alias("min"), F.get("a", n - 1).alias("max"), (F.aggregate("a", F.lit(0.0), lambda s, x: s + x) / n).alias("mean"), F.get("a", F.least(F.ceil(n * F.lit(0.95)).cast("int"), n - 1)).alias("p95"))
+    """n, min, max, mean, median (the value at index n / 2) and p95 (the value at index ceil(0.95 n), at most the last), each by rank over counted values, so no list of all values is made."""
+    counts = runs.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    upto = counts.withColumn("end", F.sum("c").over(W.orderBy("v")))
+    n = F.sum("c")
+    totals = counts.agg(n.alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("c")) / n).alias("mean"))
+    at = upto.crossJoin(F.broadcast(totals))
+    rank = lambda i: F.min(F.when(F.col("end") > i, F.col("v")))
+    picked = at.agg(rank(F.floor(F.col("n") / 2)).alias("median"), rank(F.least(F.ceil(F.col("n") * F.lit(0.95)), F.col("n") - 1)).alias("p95"))
+    return totals.crossJoin(picked)
 
 
 def pmu_measurements(frames: DataFrame) -> DataFrame:
@@ -76,7 +83,7 @@ def pmu_measurements(frames: DataFrame) -> DataFrame:
 
 def gnn_graphs(flows: DataFrame) -> DataFrame:
     """(graph_id, scenario_id, time): cases numbered from 0."""
-    return flows.select("scenario_id", "time").distinct().withColumn("graph_id", F.dense_rank().over(W.orderBy("scenario_id", "time")) - 1)
+    return numbered(flows.select("scenario_id", "time").distinct(), F.col("scenario_id"), ["time"], "graph_id")
 
 
 def gnn_nodes(buses: DataFrame, generators: DataFrame, loads: DataFrame) -> DataFrame:
@@ -85,7 +92,7 @@ def gnn_nodes(buses: DataFrame, generators: DataFrame, loads: DataFrame) -> Data
     ld = loads.groupBy("bus").agg(F.count("*").alias("num_loads"), F.sum("active_power_mw").alias("load_mw"))
     d = buses.join(g, buses.id == g.bus, "left").drop("bus").join(ld, buses.id == ld.bus, "left").drop("bus")
     z = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
-    return d.select((F.row_number().over(W.orderBy("id")) - 1).alias("node_id"), F.col("id").alias("bus_id"), "voltage_kv", z("num_gens", 0), z("num_loads", 0), z("pmax_mw", 0.0), z("load_mw", 0.0))
+    return numbered(d, by_id("id"), ["id"], "node_id").select("node_id", F.col("id").alias("bus_id"), "voltage_kv", z("num_gens", 0), z("num_loads", 0), z("pmax_mw", 0.0), z("load_mw", 0.0))
 
 
 def gnn_edges(flows: DataFrame, branches: DataFrame, graphs: DataFrame, nodes: DataFrame) -> DataFrame:

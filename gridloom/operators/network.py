@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from gridloom.operators.order import by_id, components, numbered
 
 
 def stats(buses: DataFrame, branches: DataFrame, generators: DataFrame, loads: DataFrame) -> DataFrame:
@@ -77,26 +78,19 @@ def degree_stats(buses: DataFrame, branches: DataFrame) -> DataFrame:
     return d.agg(n.alias("n_nodes"), e.cast("long").alias("n_edges"), F.min("degree").alias("min_degree"), F.avg("degree").alias("avg_degree"), F.max("degree").alias("max_degree"), F.when(n > 1, 2 * e / (n * (n - 1))).otherwise(0.0).alias("density"))
 
 
-def islands(buses: DataFrame, branches: DataFrame, in_service_only: bool = False, max_rounds: int = 100) -> DataFrame:
-    """(bus, island): components by the smallest bus reachable, numbered from 0. Lineage is cut each round where a checkpoint folder is set."""
+def islands(buses: DataFrame, branches: DataFrame, in_service_only: bool = False) -> DataFrame:
+    """(bus, island): components by the smallest bus reachable, numbered from 0."""
     e = (branches.where("status") if in_service_only else branches).select(F.col("from_bus").alias("a"), F.col("to_bus").alias("b"))
-    e = e.unionAll(e.select("b", "a")).distinct()
-    cut = (lambda d: d.checkpoint()) if buses.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.cache())
-    label = buses.select(F.col("id").alias("bus"), F.col("id").alias("low"))
-    for _ in range(max_rounds):
-        near = e.join(label, e.b == label.bus).groupBy("a").agg(F.min("low").alias("m"))
-        nxt = cut(label.join(near, label.bus == near.a, "left").select("bus", F.least("low", F.coalesce("m", "low")).alias("new"), "low"))
-        label = nxt.select("bus", F.col("new").alias("low"))
-        if nxt.where("new < low").isEmpty():
-            break
-    roots = label.select("low").distinct().withColumn("island", F.row_number().over(W.orderBy("low")) - 1)
-    return label.join(roots, "low").select("bus", "island")
+    label = components(buses.select(F.col("id").alias("node")), e)
+    roots = numbered(label.select(F.col("root").alias("_root")).distinct(), by_id("_root"), ["_root"], "island")
+    return label.join(roots, label.root == F.col("_root")).select(F.col("node").alias("bus"), "island")
 
 
 def areas(buses: DataFrame) -> DataFrame:
     """(bus, part): zone, else area, numbered from 0."""
-    key = F.coalesce("zone_id", "area_id", F.lit(0))
-    return buses.select(F.col("id").alias("bus"), (F.dense_rank().over(W.orderBy(key)) - 1).alias("part"))
+    keyed = buses.select(F.col("id").alias("bus"), F.coalesce("zone_id", "area_id", F.lit(0)).alias("_key"))
+    parts = numbered(keyed.select(F.col("_key").alias("_zone")).distinct(), by_id("_zone"), ["_zone"], "part")
+    return keyed.join(parts, F.col("_key") == F.col("_zone")).select("bus", "part")
 
 
 def tie_lines(branches: DataFrame, parts: DataFrame) -> DataFrame:
@@ -113,22 +107,6 @@ def dangling(buses: DataFrame, branches: DataFrame, generators: DataFrame, loads
     return all_.join(buses.select(F.col("id").alias("bus")), "bus", "left_anti").select("entity", F.col("id").alias("entity_id"), "bus")
 
 
-def physical(branches: DataFrame, generators: DataFrame) -> DataFrame:
-    """(category, entity_id, message): a row for each rule that a branch or generator breaks."""
-    rules = [
-        (branches, "branch", "negative resistance", F.col("resistance_pu") < 0),
-        (branches, "branch", "zero impedance", (F.col("resistance_pu") == 0) & (F.col("reactance_pu") == 0)),
-        (branches, "branch", "R/X above 10", F.abs("resistance_pu") > 10 * F.abs("reactance_pu")),
-        (branches, "branch", "tap not above 0", F.col("tap_ratio") <= 0),
-        (branches, "branch", "negative rating", F.col("rate_a_mva") < 0),
-        (generators, "generator", "pmax below pmin", F.col("pmax_mw") < F.col("pmin_mw")),
-        (generators, "generator", "negative pmin", F.col("pmin_mw") < 0),
-        (generators, "generator", "pmax above 10 GW", F.col("pmax_mw") > 10_000),
-    ]
-    found = lambda d, c: d.select("id", F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(m)) for t, k, m, cond in rules if k == c]))).alias("message")).select(F.lit(c).alias("category"), F.col("id").alias("entity_id"), "message")
-    return found(branches, "branch").unionAll(found(generators, "generator"))
-
-
 def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 

@@ -19,6 +19,14 @@ VIEWS: dict[str, str] = {
     "elements": "SELECT CAST(p_partkey AS BIGINT) AS element_id, CAST(p_size % 10 AS DOUBLE) / 100 AS failure_rate, CAST(1 + p_size % 8 AS DOUBLE) AS repair_hours FROM {part}",
     "lmp": "SELECT CAST(n_nationkey + 1 AS BIGINT) AS bus_id, CAST(20 + (n_nationkey * 3) % 11 AS DOUBLE) AS lmp FROM {nation}",
     "scenarios": "SELECT o_orderpriority AS scenario_id, CAST(count(*) % 3 = 0 AS BOOLEAN) AS storm, CAST(count(*) % 2 = 0 AS BOOLEAN) AS storage, sum(o_totalprice) AS cost, CAST(1 + count(*) % 4 AS DOUBLE) / 2 AS load_scale FROM {orders} GROUP BY 1",
+    "evaluations": "SELECT CAST(p_partkey AS BIGINT) AS contingency, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 1000 END AS probability, CAST(p_partkey % 7 AS DOUBLE) AS load_shed_mw, CAST(40 + p_partkey % 97 AS DOUBLE) / 80 AS max_loading, CAST(CASE WHEN p_partkey % 97 > 40 THEN 1 + p_partkey % 4 ELSE 0 END AS BIGINT) AS violations, p_partkey % 11 <> 0 AS converged FROM {part}",
+    "trials": "SELECT CAST(o_orderkey AS BIGINT) AS trial, o_orderkey % 9 <> 0 AS converged, o_totalprice / 100000 AS mae_deg, o_totalprice / 80000 AS rmse_deg, o_totalprice / 50000 AS max_error_deg, CAST(o_custkey % 977 AS DOUBLE) / 10 AS se_time_ms FROM {orders}",
+    "opf_limits": "SELECT id AS bus_id, pmax_mw / 10 AS pmin, pmax_mw AS pmax, pmax_mw * CAST(0.4 AS DOUBLE) AS demand FROM ({generators}) u",
+    "opf_costs": "SELECT id AS bus_id, c1 AS marginal_cost FROM ({generators}) u WHERE status",
+    "segments": "SELECT id AS bus_id, CAST(0 AS DOUBLE) AS start, pmax_mw / 2 AS end, c1 AS slope FROM ({generators}) u WHERE id % 3 = 0 UNION ALL SELECT id, pmax_mw / 2, pmax_mw, c1 + 5 FROM ({generators}) w WHERE id % 3 = 0",
+    "corridors": "SELECT CAST(n_nationkey AS BIGINT) AS corridor_id, CAST(n_regionkey AS BIGINT) AS area_a, CAST(n_nationkey % 5 AS BIGINT) AS area_b, CAST(100 + n_nationkey AS DOUBLE) AS capacity_mw FROM {nation}",
+    "windows": "SELECT CAST(c_nationkey % 5 AS BIGINT) AS area, CAST(c_custkey % 30 AS BIGINT) AS day FROM {customer} WHERE c_acctbal > 9000",
+    "voltages": "SELECT CAST(c_custkey AS BIGINT) AS bus_id, CAST(90 + c_custkey % 21 AS DOUBLE) / 100 AS vm, CAST(c_custkey % 41 AS DOUBLE) / 30 AS va, CAST(c_nationkey AS BIGINT) AS case_id FROM {customer}",
 }
 EPOCH = {"spark": "CAST(datediff(ts, DATE '1970-01-01') AS BIGINT) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts)", "duckdb": "epoch(date_trunc('second', ts))"}
 

@@ -1,38 +1,14 @@
-"""Every query by name, with its SQL where SQL can express it.
-
-Doubles are rounded to six digits in both, since sums of floats depend on their order.
-"""
+"""Every query by name, with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import analytics, dispatch, fleet, kernels, network, timeseries
-from gridloom.plans.adapter import Grid, with_views
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, views: tuple[str, ...] = ()) -> Callable[[Callable[[Grid], DataFrame]], Callable[[Grid], DataFrame]]:
-    """Registers a function of the grid tables under its own name."""
-
-    def add(f: Callable[[Grid], DataFrame]) -> Callable[[Grid], DataFrame]:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            d = f(Grid(spark, sf_dir))
-            return d.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes])
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = with_views(sql, *views) if views else sql
-        return f
-
-    return add
-
+from gridloom.plans import studies  # noqa: F401  registers its queries
+from gridloom.plans.adapter import Grid
+from gridloom.plans.catalog import ORACLES, QUERIES, Query, query
 
 RESAMPLE = "SELECT timestamp - ((timestamp % {p} + {p}) % {p}) AS bucket_start, count(*) AS count, round(avg(value), 6) AS mean_value, round(min(value), 6) AS min_value, round(max(value), 6) AS max_value FROM {t} WHERE timestamp IS NOT NULL AND value IS NOT NULL GROUP BY 1"
 
@@ -47,10 +23,11 @@ def ts_resample_negative_ts(g: Grid) -> DataFrame:
     return timeseries.resample(g.series.withColumn("timestamp", F.col("timestamp") - 1704067200), "5m")
 
 
-@query("SELECT coalesce(a.sensor, b.sensor) AS sensor, round(a.value_sum, 6) AS value_sum, round(b.value_sum, 6) AS value_sum_right FROM (SELECT sensor, sum(value) AS value_sum FROM series WHERE user_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT sensor, sum(value) AS value_sum FROM series WHERE user_id % 3 = 0 AND sensor <> 'click' GROUP BY 1) b ON a.sensor = b.sensor", ("series",))
+@query("SELECT coalesce(a.sensor, b.sensor) AS sensor, round(a.value_sum, 6) AS value_sum, round(b.value_sum, 6) AS value_sum_right FROM (SELECT sensor, sum(value) AS value_sum FROM series GROUP BY 1) a FULL JOIN (SELECT concat(upper(substr(sensor, 1, 1)), substr(sensor, 2)) AS sensor, sum(value) AS value_sum FROM series WHERE sensor <> 'click' GROUP BY 1 UNION ALL SELECT sensor, sum(user_id)::DOUBLE FROM series WHERE sensor = 'click' GROUP BY 1) b ON a.sensor = b.sensor", ("series",))
 def ts_join_outer(g: Grid) -> DataFrame:
     s = g.series
-    return timeseries.outer_join(timeseries.aggregate(s.where("user_id % 2 = 0")), timeseries.aggregate(s.where("user_id % 3 = 0 and sensor <> 'click'")), "sensor")
+    other = s.select(F.when(F.col("sensor") == "click", F.col("sensor")).otherwise(F.concat(F.upper(F.substring("sensor", 1, 1)), F.expr("substr(sensor, 2)"))).alias("sensor"), F.when(F.col("sensor") == "click", F.col("user_id").cast("double")).otherwise(F.col("value")).alias("value"))
+    return timeseries.outer_join(timeseries.aggregate(s), timeseries.aggregate(other), "sensor")
 
 
 def _aggregate(agg: str, sql: str) -> None:
@@ -201,9 +178,9 @@ def graph_islands(g: Grid) -> DataFrame:
     return network.islands(g.buses, g.branches)
 
 
-@query(ISLANDS.format(w="status AND from_bus % 5 = to_bus % 5"), ("buses", "branches"))
+@query(ISLANDS.format(w="status"), ("buses", "branches"))
 def graph_islands_status_aware(g: Grid) -> DataFrame:
-    return network.islands(g.buses, g.branches.where("from_bus % 5 = to_bus % 5"), in_service_only=True)
+    return network.islands(g.buses, g.branches, in_service_only=True)
 
 
 AREAS = "SELECT id AS bus, (dense_rank() OVER (ORDER BY coalesce(zone_id, area_id, 0)) - 1)::INTEGER AS part FROM buses"
@@ -219,14 +196,9 @@ def partition_tie_lines(g: Grid) -> DataFrame:
     return network.tie_lines(g.branches, network.areas(g.buses))
 
 
-@query("SELECT * FROM (SELECT 'branch.from_bus' AS entity, id AS entity_id, from_bus AS bus FROM branches UNION ALL SELECT 'branch.to_bus', id, to_bus FROM branches UNION ALL SELECT 'generator', id, bus FROM generators UNION ALL SELECT 'load', id, bus FROM loads) r WHERE bus NOT IN (SELECT id FROM buses WHERE id <= 20)", ("branches", "generators", "loads", "buses"))
+@query("SELECT * FROM (SELECT 'branch.from_bus' AS entity, id AS entity_id, from_bus AS bus FROM branches UNION ALL SELECT 'branch.to_bus', id, to_bus FROM branches UNION ALL SELECT 'generator', id, bus FROM generators UNION ALL SELECT 'load', id, bus FROM loads) r WHERE bus NOT IN (SELECT bus FROM generators)", ("branches", "generators", "loads"))
 def validate_references(g: Grid) -> DataFrame:
-    return network.dangling(g.buses.where("id <= 20"), g.branches, g.generators, g.loads)
-
-
-@query("SELECT 'generator' AS category, id AS entity_id, 'pmax below pmin' AS message FROM generators WHERE pmax_mw < 50 UNION ALL SELECT 'branch', id, 'R/X above 10' FROM branches WHERE reactance_pu / 5 > 10 * 0.01::DOUBLE * (id % 3)", ("generators", "branches"))
-def validate_physical(g: Grid) -> DataFrame:
-    return network.physical(g.branches.withColumn("reactance_pu", F.lit(0.01) * (F.col("id") % 3)), g.generators.withColumn("pmin_mw", F.lit(50.0)))
+    return network.dangling(g.generators.select(F.col("bus").alias("id")).distinct(), g.branches, g.generators, g.loads)
 
 
 @query("SELECT bus AS id, count(*) AS n FROM generators GROUP BY bus HAVING count(*) > 1", ("generators",))
@@ -311,9 +283,9 @@ def ptdf_matrix(g: Grid) -> DataFrame:
     return kernels.ptdf(g.buses, g.branches)
 
 
-@query("SELECT id AS branch_l, -1.0::DOUBLE AS lodf FROM branches WHERE status", ("branches",))
-def lodf_diagonal(g: Grid) -> DataFrame:
-    return dispatch.lodf(kernels.ptdf(g.buses, g.branches), g.branches).where("branch_l = branch_m").select("branch_l", "lodf")
+@query()
+def lodf_matrix(g: Grid) -> DataFrame:
+    return dispatch.lodf(kernels.ptdf(g.buses, g.branches), g.branches)
 
 
 @query()
@@ -351,7 +323,7 @@ def batch_jobs(g: Grid) -> DataFrame:
     return fleet.batch_jobs(g.scenarios, "pf")
 
 
-@query("SELECT min(repair_hours) AS min, max(repair_hours) AS max, round(avg(repair_hours), 6) AS mean, (list(repair_hours ORDER BY repair_hours))[least(ceil(count(*) * 0.95::DOUBLE)::BIGINT, count(*) - 1) + 1] AS p95 FROM elements", ("elements",))
+@query("WITH a AS (SELECT list(repair_hours ORDER BY repair_hours) AS v, count(*) AS n, min(repair_hours) AS min, max(repair_hours) AS max, avg(repair_hours) AS mean FROM elements) SELECT n, min, max, round(mean, 6) AS mean, v[n // 2 + 1] AS median, v[least(ceil(n * 0.95::DOUBLE)::BIGINT, n - 1) + 1] AS p95 FROM a", ("elements",))
 def batch_stats(g: Grid) -> DataFrame:
     return fleet.batch_stats(g.elements, "repair_hours")
 
