@@ -59,7 +59,16 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: lineage ends there, and later reads see the same rows whatever executors are lost."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by cut that nothing reads any more: all that was derived from them must have been cut or collected."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows up to which a side that has been cut and counted may be broadcast.

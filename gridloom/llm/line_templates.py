@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, let, n_words, plain_lines, small
+from gridloom.llm.common import cut, let, n_words, plain_lines, release, small
 
 #: Lines of fewer words are left alone; general templates need more, since short lines agree by chance.
 MIN_TOKENS, MIN_GENERAL_TOKENS = 5, 8
@@ -28,25 +28,33 @@ DEPTH = 3
 MIN_DOCS, MIN_MATCH = 2, 0.8
 
 
+def masked(line: Column) -> Column:
+    """The words of a line, whose white space is blanks, with one blank between; those that hold a digit are one variable field."""
+    m = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
+    return F.trim(F.when(m.contains("  "), F.regexp_replace(m, " +", " ")).otherwise(m))
+
+
 def tokens(line: Column) -> Column:
-    """Words of a line, whose white space is blanks, with those that hold a digit as one variable field."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
-    return F.array_remove(F.split(masked, " "), "")
+    """The words of a masked line."""
+    return F.split(line, " ")
+
 
+def n_tokens(line: Column) -> Column:
+    """The number of words of a masked line, without taking it apart."""
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
-def leaf(toks: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(toks), F.slice(toks, 1, depth))
 
+def parsed_lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int, depth: int, with_line: bool = False) -> DataFrame:
+    """(doc_id, th, pos, n, leaf, template, and the masked line if asked for) of lines with at least min_tokens words; th is the hash of the whole text, leaf that of the number of words and the leading ones."""
 
-def parsed_lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int, depth: int, with_tokens: bool = False) -> DataFrame:
-    """(doc_id, th, pos, n, leaf, template, and tokens if asked for) of lines with at least min_tokens words; th is the hash of the whole text."""
+    def placed(line: Column, pos: Column) -> Column:
+        return let(masked(line), lambda m: F.struct(pos.alias("pos"), n_tokens(m).alias("n"), m.alias("line")))
 
-    def parsed(line: Column, pos: Column) -> Column:
-        fields = lambda t: F.struct(pos.alias("pos"), F.size(t).alias("n"), leaf(t, depth).alias("leaf"), F.xxhash64(t).alias("template"), *[t.alias("tokens")] * with_tokens)
-        return let(tokens(line), fields)
+    def hashed(x: Column) -> Column:
+        return F.struct(x["pos"].alias("pos"), x["n"].alias("n"), F.xxhash64(x["n"], F.substring_index(x["line"], " ", depth)).alias("leaf"), F.xxhash64(x["line"]).alias("template"), *[x["line"].alias("line")] * with_line)
 
-    # Parsed inside the array, so that each line is taken apart once.
-    lines = F.filter(F.transform(F.split(plain_lines(F.col(text)), "\n"), parsed), lambda x: x["n"] >= min_tokens)
+    # Parsed inside the array, so that each line is masked once, and hashed only if it counts.
+    lines = F.transform(F.filter(F.transform(F.split(plain_lines(F.col(text)), "\n"), placed), lambda x: x["n"] >= min_tokens), hashed)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.explode(lines).alias("_line"))
     return d.select("doc_id", "th", "_line.*")
 
@@ -68,48 +76,62 @@ def bands(toks: Column, depth: int, min_match: float) -> Column:
     return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice(toks, start(i) + 1, F.greatest(start(i + 1) - start(i), F.lit(0)))).alias("hash")))
 
 
+def both_join(lo: Column, hi: Column, min_match: float) -> Column:
+    """Whether two templates join the vote of the two: the larger token wins a tie, so no votes need counting."""
+    z = F.arrays_zip(lo.alias("x"), hi.alias("y"))
+    need = F.size(lo) * F.lit(min_match)
+    return (F.size(F.filter(z, lambda t: t["x"] >= t["y"])) >= need) & (F.size(F.filter(z, lambda t: t["y"] >= t["x"])) >= need)
+
+
 def voted_pairs(pairs: DataFrame, one: DataFrame, min_match: float) -> DataFrame:
-    """As voted for clusters (cluster, lo, hi) of two templates, where both join: the larger token wins a tie, so no votes need counting."""
+    """As voted for clusters (cluster, lo, hi) of two templates, where both join."""
     side = lambda c: one.select(F.col("template").alias(c), F.col("tokens").alias(f"t{c}"))
-    z = F.arrays_zip(F.col("tlo").alias("x"), F.col("thi").alias("y"))
-    need = F.size("tlo") * F.lit(min_match)
-    both = (F.size(F.filter(z, lambda t: t["x"] >= t["y"])) >= need) & (F.size(F.filter(z, lambda t: t["y"] >= t["x"])) >= need)
-    return pairs.join(side("lo"), "lo").join(side("hi"), "hi").where(both).select("cluster", F.explode(F.array("lo", "hi")).alias("template"))
+    both = pairs.join(side("lo"), "lo").join(side("hi"), "hi").where(both_join(F.col("tlo"), F.col("thi"), min_match))
+    return both.select("cluster", F.explode(F.array("lo", "hi")).alias("template"))
 
 
 def general_templates(lines: DataFrame, mixed: DataFrame, min_tokens: int, depth: int, min_match: float) -> DataFrame:
-    """(template, cluster): the exact templates of mixed leaves that join a general template."""
-    rows = lines.where(F.col("n") >= min_tokens).join(small(mixed, 400_000), "leaf", "left_semi")
-    one = cut(rows.select("leaf", "template", "tokens").groupBy("leaf", "template").agg(F.first("tokens").alias("tokens")))
-    joined = cut(voted(one.withColumn("cluster", F.col("leaf")), min_match))
+    """(template, cluster): the exact templates of mixed leaves (leaf, k), which hold k templates, that join a general template."""
+    rows = lines.where(F.col("n") >= min_tokens).join(small(mixed, 400_000), "leaf")
+    whole = cut(rows.groupBy("leaf", "template", "k").agg(F.first("line").alias("line")))
+    # In a leaf of two templates the vote is a tie at each place, in the leaf as in any band: one comparison settles it.
+    twos = whole.where("k = 2").groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
+    twos = twos.where(both_join(tokens(F.col("lo")), tokens(F.col("hi")), min_match))
+    found = [cut(twos.select(F.explode(F.array(F.xxhash64("lo"), F.xxhash64("hi"))).alias("template"), F.col("leaf").alias("cluster")))]
+    several = whole.where("k > 2").select("leaf", "template", tokens(F.col("line")).alias("tokens"))
+    joined = cut(voted(several.withColumn("cluster", F.col("leaf")), min_match))
     # One template alone in a leaf's vote is still open.
     size = joined.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1").select("cluster")
-    found = [cut(joined.join(size, "cluster", "left_semi").select("template", "cluster"))]
-    left = one.join(found[0].select("template"), "template", "left_anti")
+    found.append(cut(joined.join(size, "cluster", "left_semi").select("template", "cluster")))
+    left = several.join(found[1].select("template"), "template", "left_anti")
     split = left.select("leaf", "template", F.explode(bands(F.col("tokens"), depth, min_match)).alias("b")).select("leaf", "template", F.xxhash64("leaf", "b.band", "b.hash").alias("cluster"))
     split = cut(split)
+    used = [joined, split]
     while True:
         shared = cut(split.groupBy("cluster").agg(F.count("*").alias("k"), F.min("template").alias("lo"), F.max("template").alias("hi")).where("k > 1"))
         split = cut(split.join(shared.select("cluster"), "cluster", "left_semi"))
+        used += [shared, split]
         if split.isEmpty():
             break
         pairs = shared.where("k = 2").groupBy("lo", "hi").agg(F.min("cluster").alias("cluster"))
-        many = split.join(shared.where("k > 2").select("cluster"), "cluster", "left_semi").join(one.select("template", "tokens"), "template")
-        joined = cut(voted(many, min_match).select("cluster", "template").unionByName(voted_pairs(pairs, one, min_match)))
+        many = split.join(shared.where("k > 2").select("cluster"), "cluster", "left_semi").join(several.select("template", "tokens"), "template")
+        joined = cut(voted(many, min_match).select("cluster", "template").unionByName(voted_pairs(pairs, several, min_match)))
         size = joined.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1")
         # Each template takes the largest of its clusters; the largest of all keeps all of its templates, so there is progress.
-        took = joined.join(size, "cluster").groupBy("template").agg(F.max(F.struct("k", "cluster"))["cluster"].alias("cluster"))
-        took = cut(took)
-        stays = took.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1").select("cluster")
-        took = cut(took.join(stays, "cluster", "left_semi").select("template", "cluster"))
+        best = cut(joined.join(size, "cluster").groupBy("template").agg(F.max(F.struct("k", "cluster"))["cluster"].alias("cluster")))
+        stays = best.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1").select("cluster")
+        took = cut(best.join(stays, "cluster", "left_semi").select("template", "cluster"))
+        used += [joined, best, took]
         if took.isEmpty():
             break
         # A later round's cluster of the same band is another one.
-        found.append(took.select("template", F.xxhash64("cluster", F.lit(len(found))).alias("cluster")))
+        found.append(cut(took.select("template", F.xxhash64("cluster", F.lit(len(found))).alias("cluster"))))
         # Only the vote of a cluster that lost a template, or whose joined templates were left over, can come out otherwise.
         again = split.join(took.select("template"), "template", "left_semi").select("cluster").union(size.select("cluster")).distinct()
         split = split.join(again, "cluster", "left_semi").join(took.select("template"), "template", "left_anti")
-    return reduce(DataFrame.unionByName, found)
+    out = cut(reduce(DataFrame.unionByName, found))
+    release(whole, *used, *found)
+    return out
 
 
 def recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, min_general: int = MIN_GENERAL_TOKENS, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_match: float = MIN_MATCH) -> tuple[DataFrame, DataFrame]:
@@ -123,8 +145,8 @@ def recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_t
         once = meta.groupBy("leaf", "template", "th").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
         found = once.groupBy("leaf", "template").agg(F.first("n").alias("n"), holder, F.count("*").alias("n_docs"))
     found = cut(found)
-    mixed = cut(found.where(F.col("n") >= min_general).groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf"))
-    joined = cut(general_templates(parsed_lines(docs, doc_id, text, min_tokens, depth, True), mixed, min_general, depth, min_match))
+    mixed = cut(found.where(F.col("n") >= min_general).groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1"))
+    joined = general_templates(parsed_lines(docs, doc_id, text, min_general, depth, True), mixed, min_general, depth, min_match)
     lines = meta.select("doc_id", "th", "pos", "template")
     of_cluster = lines.join(small(joined), "template").select("cluster", "template", "doc_id", "th")
     clusters = of_cluster.groupBy("cluster", "th").agg(F.min("doc_id").alias("doc_id")).groupBy("cluster").agg(F.min(F.struct("doc_id", "th")).alias("holder"), F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
