@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp
@@ -39,18 +40,43 @@ NAMES = {
 NAME_OF = {w: k for k, ws in NAMES.items() for w in ws}
 TAGS = ("html", "body", "main", "article", "section", "div", "nav", "header", "footer", "aside", "form", "p", "h", "list", "li", "table", "cell", "quote", "inline", "hidden")
 TAG_OF = {t: t for t in TAGS} | {f"h{i}": "h" for i in range(1, 7)} | dict.fromkeys(("ul", "ol", "dl", "menu"), "list") | dict.fromkeys(("dt", "dd"), "li") | dict.fromkeys(("thead", "tbody", "tfoot", "tr"), "table") | dict.fromkeys(("td", "th", "caption"), "cell") | {"blockquote": "quote", "pre": "quote", "figure": "quote", "figcaption": "quote", "fieldset": "form", "dialog": "aside", "address": "footer"} | dict.fromkeys(HIDDEN, "hidden")
-SCAN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: The rest of a tag behind its name: quotes count only behind an equals sign, and nothing is tried twice. The second is for pages whose quotes don't close.
+REST, REST_PLAIN = re.compile(r"(?:[^>=]|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>"), re.compile(r"[^>]*+>")
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACES = re.compile(r"\s+")
 
 
+def scan(page: str) -> Iterator[tuple[str, int, int, re.Match | None, str]]:
+    """(kind, start, end, name, attributes) of tags, comments and declarations in one forward pass; the caller may send a later place to go on from. A tag that never ends takes the rest of the page with it."""
+    at, rest = 0, REST
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
+            at = (yield "comment", start, end, None, "") or end
+            continue
+        name = TAG_NAME.match(page, start + 1)
+        if not name and page[start + 1 : start + 2] not in ("!", "?"):
+            at = start + 1
+            continue
+        m = rest.match(page, name.end() if name else start + 2)
+        if not m and rest is REST:
+            # Quotes that never close: from here on they are not looked at.
+            rest = REST_PLAIN
+            m = rest.match(page, name.end() if name else start + 2)
+        end = m.end() if m else len(page)
+        at = (yield "tag" if name and m else "comment", start, end, name, page[name.end() : end - 1] if name and m else "") or end
+
+
 class Tree:
     """Elements in page order: parent, tag, name kinds; and the text runs (element, text or None for a block edge)."""
 
     def __init__(self, page: str):
         self.parent, self.tag, self.names, self.runs = [-1], ["html"], [frozenset()], []
         self.text_len, self.link_len = [0], [0]
-        stack, at = [0], 0
+        #: Open elements, the places of those that are blocks, and how many of each name are open.
+        stack, blocks, opened, at = [0], [], Counter(), 0
 
         def text(piece: str) -> None:
             if piece:
@@ -64,55 +90,75 @@ class Tree:
             if self.runs and self.runs[-1][1] is not None:
                 self.runs.append((stack[-1], None))
 
-        for m in iter(lambda: SCAN.search(page, at), None):
-            text(page[at : m.start()])
-            at = m.end()
-            name = (m[2] or "").lower()
-            if not name:
-                continue
-            if m[1]:
-                if name in self.tag and name in [self.tag[i] for i in stack[1:]]:
-                    while True:
-                        last = self.tag[stack.pop()]
-                        if last == name:
-                            break
-                if name in BLOCK:
-                    edge()
-                continue
-            if name in BLOCK:
-                # Formatting elements do not keep a block open: the block below them closes, and they with it.
-                for depth in range(len(stack) - 1, 0, -1):
-                    open_ = self.tag[stack[depth]]
-                    if name in CLOSES.get(open_, ()):
-                        del stack[depth:]
-                        break
-                    if open_ in BLOCK:
-                        break
-                edge()
-            if name == "br":
-                self.runs.append((stack[-1], " "))
-            if name in VOID or m[0].endswith("/>") and name not in BLOCK:
-                continue
-            kinds = frozenset(NAME_OF[w] for v in NAMED.finditer(m[3]) for w in re.split(r"[^a-z]+|(?<=\w)--?", (v[1] or v[2] or v[3] or "").lower()) if w in NAME_OF) if m[3] else frozenset()
-            if name == "html" and len(self.parent) == 1:
-                continue
-            self.parent.append(stack[-1])
-            self.tag.append(name)
-            self.names.append(kinds)
-            self.text_len.append(0)
-            self.link_len.append(0)
-            if name in ("script", "style", "textarea", "title", "noscript", "template", "iframe"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                continue
-            stack.append(len(self.parent) - 1)
+        def close_down_to(depth: int) -> None:
+            while len(stack) > depth:
+                opened[self.tag[stack.pop()]] -= 1
+            while blocks and blocks[-1] >= len(stack):
+                blocks.pop()
+
+        tags = scan(page)
+        found = next(tags, None)
+        while found:
+            kind, start, end, match, attributes = found
+            text(page[at:start])
+            at, go = end, None
+            if kind == "tag":
+                name = match[2].lower()
+                if match[1]:
+                    if opened[name] > 0:
+                        depth = len(stack) - 1
+                        while self.tag[stack[depth]] != name:
+                            depth -= 1
+                        close_down_to(depth)
+                    if name in BLOCK:
+                        edge()
+                else:
+                    go = self._start(name, attributes, page, at, stack, blocks, opened, edge, close_down_to)
+                    at = go or at
+            try:
+                found = tags.send(go)
+            except StopIteration:
+                found = None
         text(page[at:])
 
+    def _start(self, name: str, attributes: str, page: str, at: int, stack: list, blocks: list, opened: Counter, edge, close_down_to) -> int | None:
+        """A start tag; where to go on, if the element's text is skipped."""
+        if name in BLOCK:
+            # Formatting elements do not keep a block open: the block below them closes, and they with it.
+            if blocks and name in CLOSES.get(self.tag[stack[blocks[-1]]], ()):
+                close_down_to(blocks[-1])
+            edge()
+        if name == "br":
+            self.runs.append((stack[-1], " "))
+        if name in VOID or attributes.endswith("/") and name not in BLOCK:
+            return None
+        kinds = frozenset(NAME_OF[w] for v in NAMED.finditer(attributes) for w in re.split(r"[^a-z]+|(?<=\w)--?", (v[1] or v[2] or v[3] or "").lower()) if w in NAME_OF) if attributes else frozenset()
+        if name == "html" and len(self.parent) == 1:
+            return None
+        self.parent.append(stack[-1])
+        self.tag.append(name)
+        # Content that is named for something else too, as content-ad, is that.
+        self.names.append(kinds - {"good"} if len(kinds) > 1 else kinds)
+        self.text_len.append(0)
+        self.link_len.append(0)
+        if name in ("script", "style", "textarea", "title", "noscript", "template", "iframe"):
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            return end.end() if end else len(page)
+        if name in BLOCK:
+            blocks.append(len(stack))
+        stack.append(len(self.parent) - 1)
+        opened[name] += 1
+        return None
+
     def features(self) -> np.ndarray:
-        """A row an element: tag, named kinds, text and link measures, and what the nearest named parent is."""
+        """A row an element: tag, named kinds, text and link measures, and what the nearest container that tells is: itself or an element around it."""
         rows = np.zeros((len(self.tag), WIDTH))
+        tells = [0] * len(self.tag)
         for i, tag in enumerate(self.tag):
             r = rows[i]
+            kinds = self.names[i]
+            tells[i] = 1 if kinds == {"good"} else -1 if kinds else 1 if tag in ("article", "main") else -1 if tag in ("nav", "header", "footer", "aside", "form") else tells[self.parent[i]] if i else 0
+            r[-6], r[-5] = tells[i] > 0, tells[i] < 0
             r[0] = 1
             r[1 + TAGS.index(TAG_OF.get(tag, "inline"))] = 1
             for k in self.names[i]:
@@ -126,7 +172,7 @@ class Tree:
 
 
 KIND_AT = {k: 1 + len(TAGS) + i for i, k in enumerate(NAMES)}
-WIDTH = 1 + len(TAGS) + len(NAMES) + 4
+WIDTH = 1 + len(TAGS) + len(NAMES) + 6
 
 
 def composed_pages(n: int = 240, seed: int = 5) -> list[tuple[str, set[str]]]:
@@ -158,12 +204,19 @@ def composed_pages(n: int = 240, seed: int = 5) -> list[tuple[str, set[str]]]:
         for _ in range(r.randint(1, 9)):
             k = r.random()
             inner = words(r.randint(1, 60), True) + (f" {link(True)} {words(8, True)}" if r.random() < 0.2 else "")
+            if r.random() < 0.12:
+                short = [words(r.randint(0, 2), True) for _ in range(r.randint(2, 5))]
+                linked = " and ".join(link(True) for _ in range(r.randint(1, 3)))
+                body.append(r.choice(("<ul>" + "".join(f"<li>{x}</li>" for x in short) + "</ul>", "<ol>" + "".join(f"<li>{x}" for x in short) + "</ol>", "<table><tr>" + "".join(f"<td>{x}" for x in short) + "</table>", "<dl>" + "".join(f"<dt>{x}<dd>{words(3, True)}" for x in short) + "</dl>", f"<p>{linked}</p>", f"<p>{words(1, True)} {linked}.</p>")))
             body.append(f"<p>{inner}</p>" if k < 0.7 else f"<p><b>{words(6, True)}<br><p>{inner}</p>" if k < 0.78 else f"<ul><li>{inner}</li><li>{words(9, True)}</li></ul>" if k < 0.84 else f"<h2>{inner}</h2>" if k < 0.9 else f"<blockquote><p>{inner}</p></blockquote>" if k < 0.95 else f"<table><tr><td>{inner}</td><td>{words(4, True)}</td></tr></table>")
             if r.random() < 0.08:
                 body.append(wrap(("div", "aside"), r.choice(("ads", "side", "notice")), f"<p>{words(r.randint(4, 20), False)}</p>"))
             if r.random() < 0.04:
                 body.append(f"<form><label>{words(2, False)}</label><input>{words(1, False)}</form>")
         inner = "".join(body)
+        if r.random() < 0.12:  # a page that is nothing but its text
+            pages.append((r.choice(("<html><body>{}</body></html>", "<body>{}</body>", "{}")).format(inner if r.random() < 0.5 else f"<p>{words(r.randint(1, 20), True)}</p>"), content))
+            continue
         parts.append(r.choice((f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main><article>{inner}</article></main>", f"<main>{inner}</main>", wrap(("div", "section"), "good", inner))))
         if r.random() < 0.4:
             parts.append(wrap(("div", "section"), "talk", "".join(r.choice(("<p>{}</p>", "<div><p>{}</p></div>", "<ul><li>{}</li></ul>")).format(words(r.randint(3, 40), False)) for _ in range(r.randint(1, 4)))))
@@ -267,7 +320,7 @@ def extract(page: str | None, weights: np.ndarray | None = None, edges: np.ndarr
     out, now = [], []
 
     def close() -> None:
-        line = SPACES.sub(" ", html.unescape("".join(now))).strip()
+        line = SPACES.sub(" ", "".join(now)).strip()
         if line:
             out.append(line)
         now.clear()
@@ -276,7 +329,7 @@ def extract(page: str | None, weights: np.ndarray | None = None, edges: np.ndarr
         if run is None:
             close()
         elif p[block[i]] > 0.5 and not hidden[i]:
-            now.append(run)
+            now.append(html.unescape(run))
     close()
     return "\n".join(out)
 
@@ -284,7 +337,7 @@ def extract(page: str | None, weights: np.ndarray | None = None, edges: np.ndarr
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row.
 
-    A null or empty page has an empty text. Broken markup is read as far as it goes. Repeated rows give equal results; extra columns are left out.
+    A null or empty page has an empty text, and an empty table gives an empty one. Broken markup is read as far as it goes, whole pages of any length in time proportional to it. Repeated rows give equal results; extra columns, also of the names of the results, are left out.
     """
     weights, edges = trained()
 
