@@ -135,7 +135,7 @@ def general_templates(lines: DataFrame, mixed: DataFrame, min_tokens: int, depth
 
 
 def recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, min_general: int = MIN_GENERAL_TOKENS, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_match: float = MIN_MATCH) -> tuple[DataFrame, DataFrame]:
-    """(templates, lines): template and the text hash of its holder for every recurring template; (doc_id, th, pos, template) of all parsed lines."""
+    """(templates, lines): template and the text hash of its holder for every recurring template; (doc_id, th, pos, template and more) of all parsed lines. Both are tables that the caller may release."""
     meta = cut(parsed_lines(docs, doc_id, text, min_tokens, depth))
     holder = F.min(F.struct("doc_id", "th")).alias("holder")
     if min_docs <= 2:
@@ -154,7 +154,9 @@ def recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_t
     exact = found.where(F.col("n_docs") >= min_docs).select("template", F.col("holder.th").alias("keeper"), F.lit(1).alias("rank"))
     # A line that joins a general template follows that one's holder, whose documents include those of the exact template.
     templates = general.unionByName(exact).groupBy("template").agg(F.min(F.struct("rank", "keeper"))["keeper"].alias("keeper"))
-    return cut(templates), lines
+    templates = cut(templates)
+    release(found, mixed, joined)
+    return templates, meta
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -164,8 +166,9 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     """
     docs = docs.drop(*[c for c in ("clean_text", "n_lines", "n_dropped") if c in docs.columns])
     templates, lines = recurring(docs, doc_id, text, **options)
-    hits = lines.join(small(templates), "template").where("th <> keeper")
+    hits = lines.select("doc_id", "th", "pos", "template").join(small(templates), "template").where("th <> keeper")
     drops = cut(hits.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_drop")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_drop"))
+    release(templates, lines)
     d = docs.join(drops, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left").drop("_id", "_th")
     d = d.withColumn("n_lines", F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).cast("long"))
     d = d.withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
