@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,12 +56,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: The tables that the innermost settled() has cut so far; none outside of it.
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: lineage ends there, and later reads see the same rows whatever executors are lost."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if (made := _made.get()) is not None:
+        made.append(out)
+    return out
+
+
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """build() as a table of its own; the tables cut on the way there are deleted, as nothing reads them any more."""
+    made: list[DataFrame] = []
+    token = _made.set(made)
+    try:
+        df = build()
+    finally:
+        _made.reset(token)
+    out = cut(df)
+    release(*made)
     return out
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut, small
+from gridloom.llm.common import components, cut, settled, small
 
 #: At similarity 0.8 a pair misses all bands with a probability of 3e-6, and is pruned with one of MISS at most.
 BANDS, ROWS, BATCH, MISS = 32, 5, 32, 1e-6
@@ -251,6 +251,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A null, empty or blank text has an empty set and is linked with nothing. A text of fewer than width words has one shingle, its whole sequence. Repeated rows are copies. A null doc_id is linked with nothing; its component is null and it is kept. doc_id names a document: rows that share it share a component. Extra columns are left out. An empty table gives an empty result.
     """
+    return settled(lambda: _near_duplicates(docs, doc_id, text, width, threshold, bands, rows, batch, miss))
+
+
+def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int, threshold: int, bands: int, rows: int, batch: int, miss: float) -> DataFrame:
     all_docs = cut(signed(docs, doc_id, text, width, bands, rows))
     live = all_docs.where("n_shingles > 0 and doc_id is not null")
     reps = cut(live.groupBy("fp").agg(F.min(F.struct("doc_id", "sig", "bands", "n_shingles")).alias("r")).select("fp", F.col("r.doc_id").alias("rep"), "r.sig", "r.bands", "r.n_shingles"))
@@ -261,19 +265,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = bands * rows
     check = lambda p: verified(cut(pruned(p, reps, threshold, batch, miss, total)), docs, doc_id, text, width, threshold)
     stars = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(check(cut(stars)))
-    first = components(links)
+    links = settled(lambda: check(cut(stars)))
+    first = settled(lambda: components(links))
     at = cut(members.join(small(first, 400_000), F.col("rep") == F.col("node"), "left").select("band", "place", "rep", "size", F.coalesce("component", "rep").alias("c")))
     per = at.groupBy("band", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("band").agg(F.max(F.struct("n", "c", "size")).alias("top"), F.sum("n").alias("n_all"), F.sum("size").alias("b_all"), F.count("*").alias("k")).where("k > 1")
     mixed = per.select("band", F.col("top.c").alias("major"), "n_all", (F.col("n_all") - F.col("top.n")).alias("n_rest"), "b_all", (F.col("b_all") - F.col("top.size")).alias("b_rest"))
     open_ = cut(at.join(small(cut(mixed), 400_000), "band"))
     few = open_.where(F.col("n_all") <= SMALL_BUCKET)
     across = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    many = cut(block_links(open_.where(F.col("n_all") > SMALL_BUCKET), reps, docs, doc_id, text, width, threshold, batch, miss, bands, rows))
-    more = cut(check(cut(across))).union(many)
+    many = settled(lambda: block_links(open_.where(F.col("n_all") > SMALL_BUCKET), reps, docs, doc_id, text, width, threshold, batch, miss, bands, rows))
+    more = settled(lambda: check(cut(across))).union(many)
     # A set held by several documents whose doc_id also holds another set ties these classes by doc_id.
     copies = live.join(reps.select("fp", "rep"), "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    final = cut(components(links.union(more).union(copies)))
+    final = settled(lambda: components(links.union(more).union(copies)))
     out = all_docs.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
