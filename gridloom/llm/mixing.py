@@ -130,16 +130,26 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Blocks that no slot takes are not met; then the lowest number is 0.
     row = row.withColumn("low", F.when(F.col("met") < F.col("size"), F.lit(0)).otherwise(F.col("low")))
     spans = F.concat(F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")), F.col("low").cast("int")), F.array_repeat(F.struct("a", "b"), (F.col("high") - F.col("low")).cast("int")))
-    spans = row.select("doc_id", "key", F.explode(spans).alias("span")).groupBy("doc_id", "key").agg(F.collect_list("span").alias("_spans"))
-    spans = spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key")
+    at = m["sources"].select("_place", F.col("source").alias("_source"))
+    row = row.join(small(at, 10_000), F.col("place") == F.col("_place")).withColumn("_row", row_key(F.col("key"), F.col("doc_id"), F.col("_source")))
+    # Rows equal in doc_id, text and source are counted by span; but for the row in which a source's last pass stops all spans are whole, so a list has few.
+    spans = row.select("_row", F.explode(spans).alias("span")).groupBy("_row", "span").agg(F.count("*").cast("int").alias("n"))
+    spans = spans.groupBy("_row").agg(F.collect_list(F.struct("span", "n")).alias("_spans"))
     key = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
-    d = docs.withColumn("_k", key).dropDuplicates([doc_id, "_k"]).join(spans, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
-    d = d.withColumn("_span", F.explode("_spans"))
+    # One key for both, so that the texts are shuffled once.
+    d = docs.withColumn("_row", row_key(key, F.col(doc_id), F.col(source))).dropDuplicates(["_row"]).join(spans, "_row")
+    d = d.withColumn("_span", F.explode(F.flatten(F.transform("_spans", lambda s: F.array_repeat(s["span"], s["n"])))))
     whole = (F.col("_span.a") == 0) & (F.col("_span.b") == n_words(F.col(text)))
     d = d.withColumn(text, F.when(whole, F.col(text)).otherwise(span_text(F.col(text), F.col("_span.a"), F.col("_span.b"))))
     return d.select(*docs.columns)
 
 
+def row_key(key: Column, doc_id: Column, source: Column) -> Column:
+    """Equal for rows with equal key, doc_id and source, nulls included."""
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), c.cast("string")), F.lit("-"))
+    return F.md5(F.concat_ws("\n", key, part(doc_id), part(source)))
+
+
 def span_text(text: Column, a: Column, b: Column) -> Column:
     """The words from a to b (not included) of a text with the white space between them."""
     parts = F.split(F.ltrim(text, F.lit(" \t\n\x0b\x0c\r")), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")

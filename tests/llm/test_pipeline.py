@@ -73,3 +73,19 @@ def test_run_by_brute_force(spark, tmp_path):
     out = sentencepiece_model.decode(corpus_pipeline.run(spark, str(tmp_path)), public_tokenizers.path(queries.MODEL)).collect()
     assert all(x.parity and x.round_trip for x in out) and sum(len(x.decoded.split()) for x in out) == words
     assert {x.doc_id for x in out} == {x.doc_id for x in mixed if x.taken}
+
+
+def test_mixing_keeps_repeated_rows_by_source(spark):
+    rows = [row(1, own("a", 30))] * 5 + [row(1, own("a", 30), "b"), row(None, own("a", 30)), row(2, own("c", 50), "b"), row(3, own("d", 20), None), row(4, None), row(5, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = corpus_pipeline.mix(spark, docs, "").collect()
+    want = {}
+    for r in mixing.taken(docs).join(docs.select("doc_id", "source").distinct(), "doc_id").collect():
+        assert r.taken <= 2 * r.size
+    sized = {s: sum(len(t.split()) for _, t, _, x, _ in rows if x == s and t) for s in ("a", "b", None)}
+    for r in got:
+        want[r.source] = want.get(r.source, 0) + len(r.text.split())
+    targets = {r.source: r.target for r in mixing.mixture(docs)["sources"].collect()}
+    assert all(abs(want[s] - targets[s]) <= 64 and want[s] <= 2 * sized[s] for s in sized)
+    texts = {own("a", 30): {"a", "b"}, own("c", 50): {"b"}, own("d", 20): {None}}
+    assert all(any(r.text in t and r.source in at for t, at in texts.items()) for r in got)
