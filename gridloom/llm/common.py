@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -45,6 +48,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Bytes of values that a Python worker takes out of an Arrow batch together.
+BATCH_BYTES = 1_000_000
+
+
+def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of rows that hold BATCH_BYTES together, or one row that holds more."""
+    at = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and size + n > BATCH_BYTES:
+            yield at, i - at
+            at, size = i, 0
+        size += n
+    if len(sizes) > at:
+        yield at, len(sizes) - at
+
+
+def byte_slices(batch: pa.RecordBatch, *columns: int) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows whose values in the columns (text or binary) hold BATCH_BYTES together, or one row that holds more."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype("int64") for c in columns)
+    for at, n in slices(sizes):
+        yield batch.slice(at, n)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors share."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

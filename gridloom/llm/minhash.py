@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut, settled, small
+from gridloom.llm.common import byte_slices, components, cut, settled, small
 
 #: At similarity 0.8 a pair misses all bands with a probability of 3e-6, and is pruned with one of MISS at most.
 BANDS, ROWS, BATCH, MISS = 32, 5, 32, 1e-6
 SHINGLE, THRESHOLD = 5, 80
 #: Members up to which a bucket's pairs are made by a join; beyond it, members and bytes (signatures, full sets) of a block.
 SMALL_BUCKET, BLOCK, BLOCK_BYTES = 16, 512, 32 << 20
-#: Hashed words kept by a task.
-KEPT_WORDS = 500_000
+#: Hashed words kept by a task, and the bytes of the longest that is kept.
+KEPT_WORDS, KEPT_WORD = 100_000, 64
 
 
 class Shingler:
@@ -48,9 +48,9 @@ class Shingler:
         if len(known) > KEPT_WORDS:
             known.clear()
         for w in ws:
-            if w not in known:
+            if w not in known and len(w) <= KEPT_WORD:
                 known[w] = xxhash.xxh64_intdigest(w)
-        h = np.array([known[w] for w in ws], dtype=np.uint64)
+        h = np.array([known[w] if len(w) <= KEPT_WORD else xxhash.xxh64_intdigest(w) for w in ws], dtype=np.uint64)
         n = max(1, len(h) - self.width + 1)
         out = np.full(n, 1469598103934665603 + min(len(h), self.width), np.uint64)
         for i in range(min(self.width, len(h))):
@@ -97,7 +97,7 @@ def signed(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, rows
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, a = Shingler(width), multipliers(bands * rows)
         b = multipliers(2 * bands * rows)[bands * rows :]
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, 1)):
             n, fp, sig, keys = [], [], [], []
             for t in batch.column(1).to_pylist():
                 s = sets(t)
@@ -222,7 +222,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, width: in
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingler(width)
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sets(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "s"])
 
     return cut(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(small(need, 400_000), "id", "left_semi").mapInArrow(full, "id long, s binary"))
@@ -234,7 +234,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: i
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, *map(whole.schema.get_field_index, ("sa", "sb")))):
             a, b, x, y = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("a", "b", "sa", "sb"))
             keep = []
             for u, v in zip(x, y, strict=True):
