@@ -21,10 +21,11 @@ def parse_matpower(text: str) -> dict:
 
 
 def read_matpower(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """buses, branches, generators and loads; rows out of service are left out, a tap of 0 is 1, degrees become radians."""
+    """cases (base_mva), buses, branches, generators, loads and shunts (MW and MVAr at 1 pu); rows out of service are left out, a tap of 0 is 1, degrees become radians."""
     case = parse_matpower("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
     buses = [(int(r[0]), f"Bus {int(r[0])}", r[9], r[7], math.radians(r[8]), int(r[6])) for r in case["bus"]]
     loads = [(i + 1, int(r[0]), r[2], r[3]) for i, r in enumerate(x for x in case["bus"] if x[2] or x[3])]
+    shunts = [(i + 1, int(r[0]), r[4], r[5]) for i, r in enumerate(x for x in case["bus"] if x[4] or x[5])]
     costs = case["gencost"] + [None] * (len(case["gen"]) - len(case["gencost"]))
     gens = []
     for i, (r, c) in enumerate(zip(case["gen"], costs)):
@@ -35,6 +36,8 @@ def read_matpower(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             gens.append((i + 1, int(r[0]), r[1], r[2], r[9], r[8], r[4], r[3], coeffs, points))
     branches = [(i + 1, int(r[0]), int(r[1]), r[2], r[3], r[4], r[8] or 1.0, math.radians(r[9]), r[5], True) for i, r in enumerate(case["branch"]) if r[10] > 0]
     return {
+        "cases": spark.createDataFrame([(case["base_mva"],)], "base_mva double"),
+        "shunts": spark.createDataFrame(shunts, "id long, bus long, gs_mw double, bs_mvar double"),
         "buses": spark.createDataFrame(buses, "id long, name string, voltage_kv double, voltage_pu double, angle_rad double, area_id long"),
         "loads": spark.createDataFrame(loads, "id long, bus long, active_power_mw double, reactive_power_mvar double"),
         "generators": spark.createDataFrame(gens, "id long, bus long, active_power_mw double, reactive_power_mvar double, pmin_mw double, pmax_mw double, qmin_mvar double, qmax_mvar double, cost_coeffs array<double>, cost_values array<double>"),
