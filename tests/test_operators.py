@@ -72,7 +72,7 @@ def test_matpower(spark, tmp_path):
     assert parse_matpower(text)["base_mva"] == 100
     (tmp_path / "c.m").write_text(text)
     t = read_matpower(spark, str(tmp_path / "c.m"))
-    assert {k: d.count() for k, d in t.items()} == {"buses": 2, "loads": 1, "generators": 1, "branches": 1}
+    assert {k: d.count() for k, d in t.items()} == {"cases": 1, "shunts": 0, "buses": 2, "loads": 1, "generators": 1, "branches": 1}
     assert t["branches"].first().tap_ratio == 1.0 and t["generators"].first().cost_coeffs == [7.0, 5.0, 0.1]
 
 
