@@ -2,8 +2,8 @@
 
 Words (a run of markers with what follows up to the next marker) are encoded on their own and kept in a table of
 bounded bytes; this is exact as long as no piece holds a marker after another character, which is checked. Distinct new
-words are encoded in multithreaded batches, and each is verified against the sentencepiece library; a stated share of
-the rows is verified as whole raw texts too, which the normaliser of this module hasn't touched.
+words are encoded in multithreaded batches. Every row is verified against the sentencepiece library as a whole raw text,
+which the normaliser of this module hasn't touched; a codec used on its own can verify every word instead.
 """
 
 from __future__ import annotations
@@ -90,9 +90,9 @@ def parse(data: bytes) -> dict:
 
 
 class Codec:
-    """Encoder and decoder of one model file."""
+    """Encoder and decoder of one model file. by_word: new words are held against the library; who holds whole texts against it needs no such check."""
 
-    def __init__(self, data: bytes, threads: bool = True):
+    def __init__(self, data: bytes, threads: bool = True, by_word: bool = True):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Regex, Tokenizer, models, normalizers
 
@@ -119,6 +119,7 @@ class Codec:
         steps = ([normalizers.Precompiled(m["charsmap"])] if m["charsmap"] else []) + ([normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(f"^ +|[ {MARK}]+$"), "")] if m["remove_extra_whitespaces"] else [])
         self.normaliser = normalizers.Sequence(steps) if steps else None
         self.library = SentencePieceProcessor(model_proto=data)
+        self.by_word = by_word
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in pieces]
         self.is_byte = np.array([k == BYTE for _, _, k in pieces])
         #: Ids of words as bytes, in two generations; a word without a marker in front stands for the marker and itself.
@@ -158,7 +159,7 @@ class Codec:
         return self.library.encode(f"a{s}")[len(self.library.encode("a")) :] == got
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words, encoded in multithreaded batches. All are held against the library, a batch in one text; a batch that differs, word by word."""
+        """The ids of words, encoded in multithreaded batches. With by_word all are held against the library, a batch in one text; a batch that differs, word by word."""
         out = {}
         for at in range(0, len(words), LEARNT_WORDS):
             part = words[at : at + LEARNT_WORDS]
@@ -171,13 +172,15 @@ class Codec:
             joined = "".join(spelt)
             if decoded != joined.replace(MARK, " ").encode():
                 self.strange.update(w for w, s, ids in zip(part, spelt, found, strict=True) if b"".join([self.bytes_of[i] for i in ids]) != s.replace(MARK, " ").encode())
+            if not self.by_word:
+                continue
             simple = not self.whole and self.model["add_dummy_prefix"] and all(w[0] not in NO_MARK + MARK for w in part)
             if not simple or decoded != joined.replace(MARK, " ").encode() or self.library.encode(" ".join(part)) != flat:
                 self.differ.update(w for w, ids in zip(part, found, strict=True) if not self.same(w, ids))
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
-        """Ids as little-endian bytes, whether they decode to the normalised text, and whether every word agrees with the library."""
+        """Ids as little-endian bytes, whether they decode to the normalised text, and whether every word agrees with the library (true without by_word)."""
         expected = [self.expected(t) for t in texts]
         cut = [self.cut(t) for t in expected]
         need = set().union(*cut)
@@ -198,6 +201,10 @@ class Codec:
             out.append((ids, back, not self.differ or self.differ.isdisjoint(ws)))
         return out
 
+    def agrees(self, raw: str, ids: bytes) -> bool:
+        """Whether the library gives these ids for a whole raw text."""
+        return self.library.encode_as_numpy(raw).astype("<i4").tobytes() == ids
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
         table = self.bytes_of
@@ -208,18 +215,16 @@ class Codec:
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     with open(path, "rb") as f:
-        return Codec(f.read())
-
+        return Codec(f.read(), by_word=False)
 
-#: One row in so many, by the CRC of its text, is held against the library as a whole raw text.
-WHOLE_SHARE = 64
 
-
-def encode(docs: DataFrame, model_path: str, text: str = "text", whole_share: int = WHOLE_SHARE) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", whole_share: int = 1) -> DataFrame:
     """docs with ids, n_tokens, n_byte_tokens, ids_crc32, round_trip and parity.
 
-    ids are those of the model without special tokens; round_trip says that decoding them gives the normalised text back; parity that the sentencepiece library gives the same ids for every word, and, for one row in whole_share by the CRC of its text, for the whole raw text. An empty text, or one that the normaliser empties, has no ids and is true in both; a null text has null results. Texts of any length are encoded whole; a task holds the words of about common.BATCH_BYTES of text, or of one longer text, besides its table. Equal rows get equal results; an empty table gives an empty one. model_path must lie at the same place on all machines (it comes with an installed package). Columns of docs of the same names as the added ones are replaced.
+    ids are those of the model without special tokens; round_trip says that decoding them gives the normalised text back; parity that the sentencepiece library gives the same ids for the whole raw text, which is compared for every row. whole_share can only be 1 (every row). An empty text, or one that the normaliser empties, has no ids and is true in both; a null text has null results. Texts of any length are encoded whole; a task holds the words of about common.BATCH_BYTES of text, or of one longer text, besides its table. Equal rows get equal results; an empty table gives an empty one. model_path must lie at the same place on all machines (it comes with an installed package). Columns of docs of the same names as the added ones are replaced.
     """
+    if whole_share != 1:
+        raise ValueError("parity is compared for every row: whole_share must be 1")
     added = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("n_byte_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), T.StructField("parity", T.BooleanType())])
     docs = docs.drop(*[f.name for f in added if f.name in docs.columns])
     schema = T.StructType(docs.schema.fields + added.fields)
@@ -231,12 +236,9 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", whole_share: in
             for at, n in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
                 yield results(c, batch.slice(at, n), texts.slice(at, n).to_pylist())
 
-    def whole_agrees(c: Codec, raw: str, ids: bytes) -> bool:
-        return bool(zlib.crc32(raw.encode()) % whole_share) or np.array(c.library.encode(raw), "<i4").tobytes() == ids
-
     def results(c: Codec, batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
         there = [t for t in texts if t is not None]
-        got = iter([(ids, back, same and whole_agrees(c, t, ids)) for t, (ids, back, same) in zip(there, c.encode(there), strict=True)])
+        got = iter([(ids, back, c.agrees(t, ids)) for t, (ids, back, _) in zip(there, c.encode(there), strict=True)])
         rows = [None if t is None else next(got) for t in texts]
         flat = np.frombuffer(b"".join([r[0] for r in rows if r]), "<i4")
         ends = np.cumsum([0] + [len(r[0]) // 4 if r else 0 for r in rows])

@@ -244,6 +244,23 @@ def test_wrong_normaliser_is_found(spark, tmp_path):
     assert all(x.parity and x.round_trip for x in sp.encode(d, path, whole_share=1).collect())
 
 
+def test_parity_is_of_every_row(spark, tmp_path):
+    """The rebuilt normaliser loses the second mark of a letter, so that ids differ from the library's though every word agrees."""
+    path = f"{tmp_path}/composed.model"
+    with open(path, "wb") as f:
+        f.write(composed_model(library_charsmap()))
+    c = sp.Codec(composed_model(library_charsmap()))
+    texts = [f"ab e\u0301\u0323 {'ab ' * i}b" for i in range(40)] + [f"ab {'a' * i}" for i in range(40)] + ["", None]
+    ((_, back, same),) = c.encode(texts[:1])
+    assert back and same
+    r = sp.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert len(r) == len(texts)
+    assert all(x.parity == (None if x.text is None else x.ids == c.library.encode(x.text)) for x in r)
+    assert sum(x.parity is False for x in r) == 40
+    with pytest.raises(ValueError):
+        sp.encode(empty(spark), path, whole_share=64)
+
+
 def test_word_table_is_bounded(monkeypatch):
     """With a table of a few words, turned over at each call, ids stay those of the library."""
     monkeypatch.setattr(sp, "KEPT_BYTES", 300)
