@@ -1,11 +1,14 @@
 """Stages of the corpus pipeline on tables with null and reused ids."""
 
+from types import SimpleNamespace
+
 import duckdb
 import public_tokenizers
 import pytest
 
 import corpus_pipeline
 from gridloom.llm import mixing, queries, sentencepiece_model
+from tests.llm.test_llm import composed_model, library_charsmap
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,6 +78,17 @@ def test_run_by_brute_force(spark, tmp_path):
     assert {x.doc_id for x in out} == {x.doc_id for x in mixed if x.taken}
 
 
+def test_last_stage_compares_every_row(spark, tmp_path, monkeypatch):
+    """With a model whose rebuilt normaliser loses the second mark of a letter, each row with such a letter is without parity."""
+    path = f"{tmp_path}/composed.model"
+    with open(path, "wb") as f:
+        f.write(composed_model(library_charsmap()))
+    monkeypatch.setattr(corpus_pipeline, "public_tokenizers", SimpleNamespace(path=lambda name: path))
+    rows = [row(i, f"ab {'ab ' * i}{'e\u0301\u0323' if i % 2 else 'b'}") for i in range(60)]
+    got = corpus_pipeline.encode(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((x.doc_id, x.parity) for x in got) == [(i, i % 2 == 0) for i in range(60)]
+
+
 def test_mixing_keeps_repeated_rows_by_source(spark):
     rows = [row(1, own("a", 30))] * 5 + [row(1, own("a", 30), "b"), row(None, own("a", 30)), row(2, own("c", 50), "b"), row(3, own("d", 20), None), row(4, None), row(5, "")]
     docs = spark.createDataFrame(rows, SCHEMA)
